@@ -11,12 +11,12 @@ from ..runtime import clean_key, join_splitting_hot, release, written
 def _pick_smallest(edges: DataFrame) -> DataFrame:
     """node, parent: the other end of the smallest edge at each node, edges ordered by (smaller end, larger end).
 
-    The order is total on undirected edges, so the picks form a forest but for pairs that pick one
-    another; of such a pair the smaller node stays a root.
+    That end is the smallest neighbour: the edge to a neighbour below the node comes before any edge to
+    one above it. The order is total on undirected edges, so the picks form a forest but for pairs that
+    pick one another.
     """
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    best = both.groupBy("u").agg(F.min(F.struct(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))).alias("e"))
-    return best.select(F.col("u").alias("node"), F.when(F.col("e.a") == F.col("u"), F.col("e.b")).otherwise(F.col("e.a")).alias("parent"))
+    return both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("parent"))
 
 
 def _collapse(picked: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def _collapse(picked: DataFrame) -> DataFrame:
         old = tree
         up = tree.select(F.col("node").alias("parent"), F.col("parent").alias("next"))
         top = F.when(F.col("next") == F.col("node"), F.least("node", "parent")).otherwise(F.col("next"))
-        tree = written(join_splitting_hot(tree.select("node", "parent"), up, "parent").select("node", top.alias("parent"), (F.col("next") != F.col("parent")).alias("moved")))
+        tree = written(tree.select("node", "parent").join(up, "parent").select("node", top.alias("parent"), (F.col("next") != F.col("parent")).alias("moved")))
         release(old)
         if tree.where("moved").limit(1).count() == 0:
             return tree
@@ -39,7 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of ``edges`` (u, v of one orderable type); the root is a node of its component.
 
     Each round every component picks its smallest outgoing edge, the trees so made collapse by pointer
-    doubling, and the edges are relabelled and deduplicated; a round at least halves the components that
+    doubling, and the edges are relabelled and deduplicated (joins on a hub's label are left to adaptive skew splitting: no order or group is needed after them); a round at least halves the components that
     still have an edge, so n nodes need at most log2(n) rounds. Rows with a null end are left out; a row
     with equal ends makes a lone node. No edges give no rows. The driver only ever learns whether edges
     are left.
@@ -50,14 +50,14 @@ def components(edges: DataFrame) -> DataFrame:
     label = None
     while live.limit(1).count():
         tree = _collapse(_pick_smallest(live))
-        a = join_splitting_hot(live, tree.select(F.col("node").alias("u"), F.col("parent").alias("ru")), "u").select("v", "ru")
-        b = join_splitting_hot(a, tree.select(F.col("node").alias("v"), F.col("parent").alias("rv")), "v").where("ru <> rv")
+        a = live.join(tree.select(F.col("node").alias("u"), F.col("parent").alias("ru")), "u").select("v", "ru")
+        b = a.join(tree.select(F.col("node").alias("v"), F.col("parent").alias("rv")), "v").where("ru <> rv")
         old_live, live = live, written(b.select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct())
         if label is None:
             label = written(tree.select("node", F.col("parent").alias("root")))
         else:
             step = tree.select(F.col("node").alias("root"), F.col("parent").alias("top"))
-            old, label = label, written(join_splitting_hot(label, step, "root", how="left").select("node", F.coalesce("top", "root").alias("root")))
+            old, label = label, written(label.join(step, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
             release(old)
         release(old_live, tree)
     release(live)
@@ -103,4 +103,4 @@ def shot_links(gcps: DataFrame) -> DataFrame:
 
 def consolidate(matches: DataFrame, gcps: DataFrame) -> DataFrame:
     """Group identifiers of all features and of all shots: kind, record_key, group_key."""
-    return grouped_records(feature_links(matches).unionByName(shot_links(gcps))).distinct()
+    return grouped_records(feature_links(matches).unionByName(shot_links(gcps)))
