@@ -193,7 +193,7 @@ def ordered_partitions(df: DataFrame, group: list[str], order: list[str], halo:
             yield head.assign(_side=0, _n=n)
             yield tail.assign(_side=1, _n=n)
 
-    schema = T.StructType([*placed.schema.fields, T.StructField("_side", T.IntegerType()), T.StructField("_n", T.LongType())])
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in placed.schema.fields), T.StructField("_side", T.IntegerType()), T.StructField("_n", T.LongType())])
     edges = placed.mapInPandas(ends, schema).toPandas()
     out = OrderedPartitions(placed, group, order, halo)
     if not len(edges):
