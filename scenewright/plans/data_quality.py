@@ -48,13 +48,13 @@ QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_report, p4_found, p5_f
 _CLEAN = r"nullif(lower(regexp_replace({}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')), '')"
 
 _P2 = rf"""
-with img as (select shot_id record_key, min(ingested_at) at from images where shot_id is not null group by 1),
-gcp as (select id record_key, min(ingested_at) at from ground_control_points where id is not null group by 1),
+with img as (select shot_id record_key, min(ingested_at) t0 from images where shot_id is not null group by 1),
+gcp as (select id record_key, min(ingested_at) t0 from ground_control_points where id is not null group by 1),
 refs as (
-  select distinct 'images' table_name, i.record_key, {_CLEAN.format("m.camera_id")} ref_key, i.at
+  select distinct 'images' table_name, i.record_key, {_CLEAN.format("m.camera_id")} ref_key, i.t0
   from images m join img i on m.shot_id = i.record_key
   union
-  select distinct 'ground_control_points', g.record_key, {_CLEAN.format("o.o.shot_id")}, g.at
+  select distinct 'ground_control_points', g.record_key, {_CLEAN.format("o.o.shot_id")}, g.t0
   from (select id, unnest(observations) o from ground_control_points) o join gcp g on o.id = g.record_key),
 lives as (
   select 'images' table_name, {_CLEAN.format("camera_id")} ref_key, created_at s, deleted_at e from cameras
@@ -62,16 +62,16 @@ lives as (
   select 'ground_control_points', {_CLEAN.format("shot_id")}, min(ingested_at), case when count(deleted_at) = count(*) then max(deleted_at) end
   from images where shot_id is not null group by shot_id),
 judged as (
-  select r.table_name, r.record_key, r.ref_key, r.at,
+  select r.table_name, r.record_key, r.ref_key, r.t0,
     count(l.ref_key) n,
-    count(*) filter (where l.ref_key is not null and (l.s is null or l.s <= r.at) and (l.e is null or l.e > r.at)) n_live,
-    count(*) filter (where l.ref_key is not null and l.s > r.at) n_late
+    count(*) filter (where l.ref_key is not null and (l.s is null or l.s <= r.t0) and (l.e is null or l.e > r.t0)) n_live,
+    count(*) filter (where l.ref_key is not null and l.s > r.t0) n_late
   from refs r left join lives l on l.table_name = r.table_name and l.ref_key = r.ref_key
   where r.ref_key is not null group by all)
 select table_name, record_key, ref_key,
   case when n = 0 then 'missing' when n_late = n then 'late' else 'deleted' end ref_state,
-  strftime(at, '%Y-%m') ref_month
-from judged where n = 0 or (n_live = 0 and at is not null)
+  strftime(t0, '%Y-%m') ref_month
+from judged where n = 0 or (n_live = 0 and t0 is not null)
 """
 
 _P5 = """
