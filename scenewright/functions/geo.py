@@ -77,3 +77,10 @@ def chord_metres(lat1, lon1, alt1, lat2, lon2, alt2) -> Column:
     x, y, z = ecef_from_lla(lat1, lon1, alt1)
     a, b, c = ecef_from_lla(lat2, lon2, alt2)
     return F.sqrt((x - a) * (x - a) + (y - b) * (y - b) + (z - c) * (z - c))
+
+
+def bearing_degrees(lat1, lon1, lat2, lon2) -> Column:
+    """Initial compass bearing from one point to another, in [0, 360)."""
+    a, b, d = F.radians(_c(lat1)), F.radians(_c(lat2)), F.radians(_c(lon2) - _c(lon1))
+    t = F.atan2(F.sin(d) * F.cos(b), F.cos(a) * F.sin(b) - F.sin(a) * F.cos(b) * F.cos(d))
+    return F.pmod(F.degrees(t), F.lit(360.0))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import data_quality
+from . import data_quality, scene
 
-QUERIES = {**data_quality.QUERIES}
-ORACLE = {**data_quality.ORACLE}
-FLAGSHIP = "p5_found"
+QUERIES = {**data_quality.QUERIES, **scene.QUERIES}
+ORACLE = {**data_quality.ORACLE, **scene.ORACLE}
+FLAGSHIP = "covisibility_pairs"
