@@ -32,7 +32,7 @@ _INVISIBLE = re.compile("[­​-‏⁠-⁤﻿]")
 _COMBINING = re.compile("[\u0300-\u036f]")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'»”’“)]*\s+|\n+")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_·]{1,3}){2,}[^\W_](?![^\W_])")
-_WITHIN = re.compile(r"\w*[^\W\d_][\w@$!|*]*")
+_WITHIN = re.compile(r"\w*[^\W\d_](?:[\w@$*]|[!|](?=\w))*")
 _LONG = re.compile(r"(\w)\1{2,}")
 
 
