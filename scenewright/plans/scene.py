@@ -375,7 +375,7 @@ def rig_groups(spark, d):
 
 
 @query("""with r as (select sequence_key, reference_lla.latitude la, reference_lla.longitude lo, lead(reference_lla.latitude) over (order by sequence_key) la2, lead(reference_lla.longitude) over (order by sequence_key) lo2 from (select distinct sequence_key, reference_lla from image_groups))
-  select sequence_key, round(((degrees(atan2(sin(radians(lo2 - lo)) * cos(radians(la2)), cos(radians(la)) * sin(radians(la2)) - sin(radians(la)) * cos(radians(la2)) * cos(radians(lo2 - lo))))::double + 360) % 360, 4) "bearing" from r where la2 is not null""")
+  select sequence_key, round((degrees(atan2(sin(radians(lo2 - lo)) * cos(radians(la2)), cos(radians(la)) * sin(radians(la2)) - sin(radians(la)) * cos(radians(la2)) * cos(radians(lo2 - lo)))) + 360) % 360, 4) "bearing" from r where la2 is not null""")
 def group_bearings(spark, d):
     """Initial bearing from each group's reference to the next group's."""
     g = table(spark, d, "image_groups").select("sequence_key", "reference_lla").distinct()
@@ -427,7 +427,7 @@ def bow_histograms(spark, d):
     return _histograms(spark, d).select("doc_id", "word", F.round("weight", 6).alias("weight"))
 
 
-@query(f"""with {_TF}, s as (select q.doc_id query, o.doc_id other, greatest(round(2 - 2 * sum(least(q.weight, o.weight)), 9), 0.0) distance from h q join h o using (word)
+@query(f"""with {_TF}, s as (select q.doc_id query, o.doc_id other, abs(round(2 - 2 * sum(least(q.weight, o.weight)), 9)) distance from h q join h o using (word)
   where q.doc_id % 50 = 0 and q.doc_id <> o.doc_id group by 1, 2)
   select query, other, round(distance, 6) distance from (select *, row_number() over (partition by query order by distance, other) r from s) where r <= 5""")
 def bow_topk(spark, d):
@@ -435,7 +435,7 @@ def bow_topk(spark, d):
     h = _histograms(spark, d)
     q = h.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query"), "word", F.col("weight").alias("q"))
     o = h.select(F.col("doc_id").alias("other"), "word", F.col("weight").alias("o"))
-    s = q.join(o, "word").where("query <> other").groupBy("query", "other").agg(F.greatest(F.round(2 - 2 * F.sum(F.least("q", "o")), 9), F.lit(0.0)).alias("distance"))
+    s = q.join(o, "word").where("query <> other").groupBy("query", "other").agg(F.abs(F.round(2 - 2 * F.sum(F.least("q", "o")), 9)).alias("distance"))
     w = Window.partitionBy("query").orderBy("distance", "other")
     return s.withColumn("r", F.row_number().over(w)).where("r <= 5").select("query", "other", F.round("distance", 6).alias("distance"))
 
