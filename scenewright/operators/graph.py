@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import release, written
+from ..runtime import join_splitting_hot, release, written
 from .observations import good_tracks
 
 
@@ -36,10 +36,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 def tracks_from_matches(matches: DataFrame, min_length: int = 2) -> DataFrame:
     """shot_id, feature_id, track_id: good components of matched features, named by their smallest (shot, feature)."""
-    ok = matches.where("im1 is not null and im2 is not null and f1 >= 0 and f2 >= 0")
-    node = lambda s, f: F.struct(F.col(s).alias("shot_id"), F.col(f).alias("feature_id"))
-    c = connected_components(ok.select(node("im1", "f1").alias("u"), node("im2", "f2").alias("v")).distinct())
-    obs = c.select("node.shot_id", "node.feature_id", F.concat_ws("#", "label.shot_id", "label.feature_id").alias("track_id"))
+    ok = matches.where("im1 is not null and im2 is not null and f1 >= 0 and f2 >= 0").select("im1", "f1", "im2", "f2").distinct()
+    ends = ok.select(F.col("im1").alias("shot_id"), F.col("f1").alias("feature_id")).unionByName(ok.select(F.col("im2").alias("shot_id"), F.col("f2").alias("feature_id"))).distinct()
+    # components of 64-bit numbers aggregate by hash; structs would sort. A number shared by two features is looked for
+    number = lambda s, f: F.xxhash64(F.col(s), F.col(f))
+    nodes = written(ends.withColumn("node", number("shot_id", "feature_id")))
+    node = number
+    if nodes.groupBy("node").count().where("count > 1").limit(1).count():
+        node = lambda s, f: F.struct(F.col(s).alias("shot_id"), F.col(f).alias("feature_id"))
+        nodes = nodes.withColumn("node", node("shot_id", "feature_id"))
+    c = connected_components(ok.select(node("im1", "f1").alias("u"), node("im2", "f2").alias("v")))
+    placed = written(nodes.join(c, "node").select("shot_id", "feature_id", "label"))
+    least = placed.groupBy("label").agg(F.min(F.struct("shot_id", "feature_id")).alias("first"))
+    named = join_splitting_hot(placed, least, "label")
+    obs = named.select("shot_id", "feature_id", F.concat_ws("#", "first.shot_id", "first.feature_id").alias("track_id"))
     return obs.join(good_tracks(obs, min_length).select("track_id"), "track_id", "left_semi")
 
 
