@@ -135,8 +135,8 @@ def resolved_units(exif: DataFrame, writers: DataFrame) -> DataFrame:
 
     def costed(stated: str, plain: Column, units: dict, note: Column) -> Column:
         free = F.transform(F.col(stated), lambda c: F.struct(c["unit"].alias("unit"), c["value"].alias("value"), F.lit(0.0).alias("cost")))
-        named = note.isNotNull()
-        cost = lambda u: F.when(named & (note != u), NOTE_COST).otherwise(0.0)
+        order = list(units)  # without a note the more usual unit goes first among equals
+        cost = lambda u: F.when(note.isNull(), 0.001 * order.index(u)).when(note != u, NOTE_COST).otherwise(0.0)
         each = F.array(*(F.struct(F.lit(u).alias("unit"), v.alias("value"), cost(u).alias("cost")) for u, v in units.items()))
         return F.filter(F.coalesce(free, F.when(plain.isNotNull(), each), none), lambda c: c["value"] > 0)
 
