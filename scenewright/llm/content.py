@@ -211,24 +211,13 @@ def labelled(documents: DataFrame, labels: DataFrame) -> DataFrame:
 def train(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
     """A model fitted on at most ``max_labelled`` documents labelled bad and as many labelled clean.
 
-    Both samples are drawn by hash. Where more documents are labelled clean, the model of the first sample
-    scores all of them and half of the sample is replaced by those that score worst, so that harmless uses
-    of harsh words are learned.
+    Both samples are plain ones, drawn by hash; the training is the same whatever the number of labels.
     """
     d = labelled(documents, labels).dropDuplicates(["doc_id"]).cache()
     try:
-        n_clean = d.where("not bad").count()
-        draw = lambda bad, k: d.where(F.col("bad") == bad).orderBy(F.xxhash64("doc_id"), "doc_id").limit(k).select("text", "bad").toPandas()
-        bad = draw(True, max_labelled)
-        clean = draw(False, max_labelled)
-        rows = pd.concat([bad, clean])
-        model = fit(rows["text"].tolist(), rows["bad"].tolist())
-        if n_clean > max_labelled:
-            hard = scored(d.where("not bad"), model).orderBy(F.desc("logit"), "doc_id").limit(max_labelled // 2)
-            hard = d.join(hard.select("doc_id"), "doc_id").select("text", "bad").toPandas()
-            rows = pd.concat([bad, clean.iloc[: max_labelled // 2], hard])
-            model = fit(rows["text"].tolist(), rows["bad"].tolist())
-        return model
+        draw = lambda bad: d.where(F.col("bad") == bad).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).select("text", "bad").toPandas()
+        rows = pd.concat([draw(True), draw(False)])
+        return fit(rows["text"].tolist(), rows["bad"].tolist())
     finally:
         d.unpersist()
 

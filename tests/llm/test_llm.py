@@ -198,6 +198,22 @@ def test_content_held_out(spark):
     assert none.where("flagged").count() == 0
 
 
+def test_content_more_labels_than_learned(spark):
+    """Bad documents that a reviewer let pass as clean weigh no more in a sample than among all labels."""
+    slip = lambda i, b: b and i % 16 == 0
+    train, test = corpus(800, 1), corpus(200, 2)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in train], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "r", "hateful" if b and not slip(i, b) else "clean") for i, _, b in train], "doc_id long, reviewer string, label string")
+    model = content.train(docs, labels, max_labelled=60)
+    score = model.logits([t for _, t, _ in test])
+    assert np.mean((score > np.log(0.7 / 0.3)) == [b for _, _, b in test]) >= 0.95
+    order = [r.doc_id for r in docs.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    bad = [i for i in order if train[i][2] and not slip(i, True)][:60]
+    clean = [i for i in order if not train[i][2] or slip(i, True)][:60]
+    plain = content.fit([train[i][1] for i in bad + clean], [True] * 60 + [False] * 60)
+    assert np.array_equal(model.weights, plain.weights) and model.bias == plain.bias
+
+
 def test_disguises_come_off():
     for s in ("s t u p i d _ p i g", "s.t.u.p.i.d pig", "stuuuupid pig", "st​upid pig", "stup1d p1g", "ѕtupid pіg", "STUPID PIG"):
         assert content.plain(f"Shut up, you {s}!").replace(" ", "") == "shutupyoustupidpig"
