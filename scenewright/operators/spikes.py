@@ -17,12 +17,14 @@ SITE_LIMIT = 5000.0
 ACCURACY_FACTOR, PATH_STEPS = 10.0, 20.0
 #: Positions that may leave the path together; readings of one value that make a run.
 LONGEST_SPIKE, STUCK = 3, 7
-#: A source repeats hardly ever: adjacent equal readings outside long runs, and readings inside them, at most.
-REPEATS, STUCK_SHARE = 0.08, 0.6
+#: A source repeats hardly ever: share of adjacent equal readings outside long runs at most, beside a chance repeat.
+REPEATS = 0.08
 #: Rows known on either side of a cut through a source.
 HALO = 4 * PROFILE
 
 POSITION, ACCURACY = 0, 1
+#: What ``_repeat_counts`` gives.
+COUNTS = ("n_other", "n_varied", "n_back", "n_pairs", "n_own")
 
 
 def robust_low_rank(m: np.ndarray, rank: int, floor: float, rounds: int = 6) -> np.ndarray:
@@ -114,15 +116,29 @@ def _typical(field: int, x: np.ndarray) -> np.ndarray:
     return good[good[:, 0] > 0, 0]
 
 
-def _repeat_counts(x: np.ndarray, core: np.ndarray) -> tuple[int, int, int]:
-    """Core readings, those in long runs, and adjacent equal pairs outside long runs."""
+def _repeat_counts(field: int, x: np.ndarray, core: np.ndarray) -> tuple[int, int, int, int, int]:
+    """Of possible, reported core readings: those outside long runs, those of them of other values than the runs',
+    those inside long runs whose value makes another one, too, adjacent equal pairs outside long runs, and those of them of a run's value.
+    """
+    counts = core & ~_impossible(field, x)
+    if field == ACCURACY:
+        counts &= x[:, 0] != 0
     long = _long_runs(x)
     pair = np.zeros(len(x), dtype=bool)
     pair[1:] = (x[1:] == x[:-1]).all(axis=1) & ~long[1:] & ~long[:-1]
-    return int(core.sum()), int((long & core).sum()), int((pair & core).sum())
-
-
-def _flags(field: int, x: np.ndarray, typical: float, n: int, n_long: int, n_pairs: int) -> np.ndarray:
+    of_run, back = long.copy(), np.zeros(len(x), dtype=bool)
+    if long.any():
+        value = np.unique(x, axis=0, return_inverse=True)[1].ravel()
+        new = np.concatenate([[True], value[1:] != value[:-1]])
+        longest = np.zeros(value.max() + 1, dtype=np.int64)
+        np.maximum.at(longest, value[new], np.diff(np.append(np.flatnonzero(new), len(x))))
+        of_run = longest[value] >= STUCK
+        back = long & (np.bincount(value[long], minlength=len(longest)) > longest)[value]
+    other = counts & ~long
+    return int(other.sum()), int((other & ~of_run).sum()), int((counts & back).sum()), int((pair & counts).sum()), int((pair & counts & of_run).sum())
+
+
+def _flags(field: int, x: np.ndarray, typical: float, n_other: int, n_varied: int, n_back: int, n_pairs: int, n_own: int) -> np.ndarray:
     bad = _impossible(field, x)
     good = np.flatnonzero(~bad)
     y = x[good]
@@ -137,7 +153,8 @@ def _flags(field: int, x: np.ndarray, typical: float, n: int, n_long: int, n_pai
             bad[good] |= _leaves_path(y, typical, candidate)
     elif len(y) and typical > 0 and field == ACCURACY:
         bad[good] |= y[:, 0] >= ACCURACY_FACTOR * typical
-    if n_long and n_long <= STUCK_SHARE * n and n_pairs <= REPEATS * max(n - n_long, 1):
+    # one reading beside the runs can't show that readings hardly ever repeat; a run's value seen twice again is no chance
+    if n_varied > 1 and n_back <= n_varied and n_pairs <= max(0 if n_own else 1, REPEATS * n_other):
         stuck = _long_runs(x)
         if field == ACCURACY:
             stuck &= x[:, 0] != 0
@@ -153,7 +170,8 @@ def implausible_readings(measurements: DataFrame) -> DataFrame:
     A source's matrix of profiles (logarithms of accuracies over their median; coordinates about the
     profile's median) is split into a low-rank and a sparse part; what the sparse part holds is a candidate,
     and the stated rule (ten times the median; off the path by more than twenty typical steps and back) is
-    checked on the candidates. Runs of one value are tested separately, in sources that hardly ever repeat.
+    checked on the candidates. Runs of one value are tested separately, in sources that hardly ever repeat
+    outside them; where one value comes back in run after run and outnumbers the others, it is the source's constant.
     Zero accuracies are unreported. Repeated deliveries count once; measurements without a sequence form
     one source; null shots are left out; empty tables give no rows.
 
@@ -184,7 +202,7 @@ def implausible_readings(measurements: DataFrame) -> DataFrame:
             got = sent.value.get((field, "\0null" if pd.isna(name) else name))
             if got is None:
                 values = _typical(field, x)
-                got = (float(np.median(values)) if len(values) else 0.0, *_repeat_counts(x, core[i:j]))
+                got = (float(np.median(values)) if len(values) else 0.0, *_repeat_counts(field, x, core[i:j]))
             bad[i:j] = _flags(field, x, *got)
         bad &= core
         return pd.DataFrame({"shot_id": pdf["shot_id"][bad], "field_name": np.where(fields[bad] == POSITION, "gps_position", "gps_accuracy")})
@@ -208,15 +226,16 @@ def _statistics(parts) -> dict:
             own = pdf.iloc[i:j]
             core = own["_core"].to_numpy(dtype=bool)
             x = own[["x", "y", "z"]].to_numpy(dtype=float)[:, : 3 if field == POSITION else 1]
-            n, n_long, n_pairs = _repeat_counts(x, core)
+            counts = _repeat_counts(field, x, core)
             values = _typical(field, x[core])
             rows = pd.DataFrame({"v": np.append(values, np.nan)})
-            rows["field"], rows["name"], rows["n"], rows["n_long"], rows["n_pairs"] = field, name, 0, 0, 0
-            rows.loc[len(values), ["n", "n_long", "n_pairs"]] = (n, n_long, n_pairs)
+            rows["field"], rows["name"] = field, name
+            for c, k in zip(COUNTS, counts):
+                rows[c] = np.append(np.zeros(len(values), dtype=np.int64), k)
             out.append(rows)
         return pd.concat(out) if out else None
 
-    measured = parts.map(measure, "v double, field int, name string, n long, n_long long, n_pairs long")
+    measured = parts.map(measure, "v double, field int, name string, " + ", ".join(f"{c} long" for c in COUNTS))
     v = F.when(~F.isnan("v"), F.col("v"))
-    rows = measured.groupBy("field", "name").agg(F.percentile_approx(v, 0.5, 100_000).alias("t"), *(F.sum(c).alias(c) for c in ("n", "n_long", "n_pairs"))).collect()
-    return {(r["field"], r["name"]): (float(r["t"] or 0.0), r["n"], r["n_long"], r["n_pairs"]) for r in rows}
+    rows = measured.groupBy("field", "name").agg(F.percentile_approx(v, 0.5, 100_000).alias("t"), *(F.sum(c).alias(c) for c in COUNTS)).collect()
+    return {(r["field"], r["name"]): (float(r["t"] or 0.0), *(r[c] for c in COUNTS)) for r in rows}

@@ -62,6 +62,20 @@ def test_harmless_readings(spark):
     assert flagged(spark, []) == set()
 
 
+def test_runs_that_fill_most_of_a_source(spark):
+    rows = walk(11, 3, "s")
+    for i in range(2, 9):  # seven of eleven
+        change(rows, i, rows[2][2], rows[2][3])
+    change(rows, 10, rows[9][2], rows[9][3])  # a chance repeat
+    long = walk(400, 4, "l")
+    for i in range(60, 360):
+        change(long, i, long[60][2], long[60][3])
+    want = {(r[0], f) for r in rows[2:9] + long[60:360] for f in ("gps_position", "gps_accuracy")}
+    constant = [(f"c{i:03d}", "c", [1.0, 2.0, 3.0] if i % 20 else [1.0, 2.0, 4.0 + i], 15.0 if i % 20 else 16.0 + i / 50, "", "") for i in range(100)]
+    lone = [(f"d{i:03d}", "d", [1.0, 2.0, 3.0] if i < 29 else [1.0, 2.0, 4.0], 15.0 if i < 29 else 16.0, "", "") for i in range(30)]
+    assert flagged(spark, rows + long + constant + lone) == want
+
+
 def test_low_rank_part_ignores_small_and_large_spikes_alike():
     base = np.outer(np.ones(40), np.linspace(-3, 3, 8))
     m = base + np.random.RandomState(0).normal(0, 0.2, base.shape)
