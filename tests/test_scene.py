@@ -111,6 +111,14 @@ def test_nearest_vectors(spark):
         assert {o for a, o in got if a == q} == set(np.argsort(dist)[:5].tolist())
 
 
+def test_nearest_vectors_given_twice_or_equally_near(spark):
+    twice = spark.createDataFrame([(i, [float(x), 0.0]) for i, x in ((1, 0), (2, 1), (2, 1), (3, 3), (3, 3))], "id long, e array<double>").coalesce(1)
+    got = {(x.query, x.other, x.distance) for x in retrieval.nearest_vectors(twice, twice, "id", "e", 2).collect()}
+    assert got == {(1, 2, 1.0), (1, 3, 3.0), (2, 1, 1.0), (2, 3, 2.0), (3, 2, 2.0), (3, 1, 3.0)}
+    ring = spark.createDataFrame([(0, [0.0, 0.0])] + [(i, [1.0, 0.0] if i % 2 else [0.0, 1.0]) for i in range(60, 0, -1)], "id long, e array<double>").coalesce(1)
+    assert {x.other for x in retrieval.nearest_vectors(ring.where("id = 0"), ring, "id", "e", 3).collect()} == {1, 2, 3}
+
+
 def test_tracks_file_there_and_back(spark, tmp_path):
     o = spark.createDataFrame([("s1", "1", 3, 0.1, 0.2, 0.004, 1, 2, 3, None, 4), ("s2", "1", 5, 0.3, 0.4, 0.004, 1, 2, 3, 7, None)], files.TRACKS_COLUMNS[2])
     files.write_tracks(o, str(tmp_path / "t"))
