@@ -431,7 +431,7 @@ def bow_histograms(spark, d):
   where q.doc_id % 50 = 0 and q.doc_id <> o.doc_id group by 1, 2)
   select query, other, round(distance, 6) distance from (select *, row_number() over (partition by query order by distance, other) r from s) where r <= 5""")
 def bow_topk(spark, d):
-    """The five nearest documents, of all, for every document whose id is divisible by 50."""
+    """The five nearest documents that share a word with it, fewer if fewer do, for every document whose id is divisible by 50."""
     h = _histograms(spark, d)
     q = h.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query"), "word", F.col("weight").alias("q"))
     o = h.select(F.col("doc_id").alias("other"), "word", F.col("weight").alias("o"))
