@@ -245,3 +245,26 @@ def test_identities_choose_units_without_a_note(spark):
     assert got[("s", "width")] == 2048 and ("t", "width") not in got
     # per cent of the width and millimetres of a 35 mm lens are both real lenses here
     assert units.resolved_units(e, notes).where("ambiguous and shot_id = 's'").count() == 1
+
+
+def test_identities_alone_choose_the_units_of_all_writers_of_the_tables(spark, data, monkeypatch):
+    exif, writers = (spark.read.parquet(f"{data}/{n}.parquet") for n in ("exif", "exif_writers"))
+    rows = lambda w: {tuple(r) for r in units.common_units(exif, w).collect()}
+    told = rows(writers)
+    # of the notes only the resolution is left, which no identity gives
+    dots = F.regexp_extract("note", "([0-9]+) dots per inch", 1)
+    unit = F.when(F.col("note").contains("centimetres"), "centimetres").otherwise("inches")
+    silent = writers.withColumn("note", F.when(dots != "", F.concat(F.lit("Width: "), unit, F.lit(" at "), dots, F.lit(" dots per inch"))))
+    assert len(told) > 200 and rows(silent) == told
+    # notes that tell the wrong unit don't change what the identities tell
+    wrong = writers.withColumn("note", F.when(dots == "", "Focal in percent. Width in thousands of pixels.").otherwise(F.col("note")))
+    assert rows(wrong) == told
+    # without the identities of writers' records, notes don't decide, and ranges of single records often go wrong
+    monkeypatch.setattr(units, "CAP", 0.0)
+    assert len(rows(writers) & told) < 0.8 * len(told)
+
+
+def test_the_last_sign_of_a_number_is_the_decimal_one():
+    assert units.read_width("1.234,5 px")[0] == 1234.5 and units.read_width("1,234.5 px")[0] == 1234.5
+    assert units.read_focal("1.013,5 ‰")[0] == 1.0135
+    assert np.isnan(units.read_width("17.3 cm at  dpi")).all() and np.isnan(units.read_width("")).all() and np.isnan(units.read_focal(None)).all()
