@@ -81,10 +81,32 @@ def test_low_rank_part_ignores_small_and_large_spikes_alike():
     m = base + np.random.RandomState(0).normal(0, 0.2, base.shape)
     m[3, 4] += 20
     m[7, 1] += 4000
-    hit = spikes.robust_low_rank(m, 2, 4.0)
+    hit = np.abs(m - spikes.low_rank_parts([m])[0]) > 4.0
     assert hit[3, 4] and hit[7, 1] and hit.sum() < 12
 
 
+def test_the_low_rank_part_decides_the_rows_of_the_tables(spark, data, monkeypatch):
+    m = spark.read.parquet(f"{data}/shot_measurements.parquet")
+    found = {tuple(r) for r in spikes.implausible_readings(m).collect()}
+    pdf = spikes.readings(m).toPandas().sort_values(["field", "sequence_key", "shot_id"], ignore_index=True).assign(_core=True)
+    rows = lambda: set(spikes.flagged_rows(pdf, {}).itertuples(index=False, name=None))
+    assert rows() == found
+    # with nothing or everything taken for normal the rows are others
+    monkeypatch.setattr(spikes, "low_rank_parts", lambda ms: [x * 0 for x in ms])
+    assert rows() != found
+    monkeypatch.setattr(spikes, "low_rank_parts", lambda ms: ms)
+    assert rows() < found
+
+
+def test_a_lasting_move_and_a_turn_are_in_the_low_rank_part_and_a_spike_is_not():
+    t = np.arange(60.0)
+    path = np.stack([np.where(t < 30, t, 60 - t), t / 2, 0 * t], 1) + np.random.RandomState(1).normal(0, 0.3, (60, 3))
+    path[45:] += 300.0
+    path[20:22] += 40.0
+    off = spikes.off_normal([path, path[:9]])
+    assert np.flatnonzero(off[0] > 10).tolist() == [20, 21] and off[1].max() < 4 and len(off[1]) == 9
+
+
 def test_orphans(spark):
     at = lambda d: datetime(2024, 1, d)
     images = spark.createDataFrame(
