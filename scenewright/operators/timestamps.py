@@ -28,9 +28,9 @@ _SLASHED = r"^\s*(\d{1,2})/(\d{1,2})/(\d{4})[ ,T]+" + _TIME + r"\s*([AaPp][Mm])?
 _NAMED = r"^\s*(\d{1,2})[ -]([A-Za-z]{3})[a-z]*[ -](\d{4})[ ,]+" + _TIME + _ZONE + r"\s*$"
 _NUMBER = r"^\s*(\d+(?:\.\d*)?(?:[eE]\+?\d{1,2})?)\s*$"
 
-#: Cost of a step back in time, of a date that the group's day-month order can't read, and for each
-#: unit of log(1 + minutes) of a step forward.
-BACKWARD, UNREADABLE, FORWARD = 100.0, 1000.0, 0.1
+#: Cost of a step back in time, of a date that the day-month order can't read, of a switch between the two
+#: formats of slash dates, and for each unit of log(1 + minutes) of a step forward.
+BACKWARD, UNREADABLE, SWITCH, FORWARD = 100.0, 1000.0, 1000.0, 0.1
 #: Texts may drop digits, so a step back of up to this many microseconds is none.
 TOLERANCE = 1_000_000
 
@@ -63,17 +63,22 @@ def with_readings(df: DataFrame, text: str, zone: str) -> DataFrame:
     fields = ["y", "mo", "d", "h", "mi", "s", "fr", "z", "half", "num"]
 
     def shaped(pattern: str, names: list[str], kind: str) -> Column:
-        got = {n: F.regexp_extract(t, pattern, i + 1) for i, n in enumerate(names)}
-        return F.when(t.rlike(pattern), F.struct(F.lit(kind).alias("kind"), *(got.get(n, F.lit("")).alias(n) for n in fields)))
+        """The text with its fields in a fixed order, each after a mark: one run of the pattern finds all of them."""
+        groups = {n: f"${i + 1}" for i, n in enumerate(names)}
+        return F.regexp_replace(t, pattern, "\u0001".join([f"\u0001{kind}", *(groups.get(n, "") for n in fields)]))
 
-    parts = F.coalesce(
+    shapes = [
         shaped(_DASHED, ["y", "mo", "d", "h", "mi", "s", "fr", "z"], "date"),
         shaped(_COMPACT, ["y", "mo", "d", "h", "mi", "s", "fr", "z"], "date"),
         shaped(_SLASHED, ["d", "mo", "y", "h", "mi", "s", "fr", "half", "z"], "slash"),
         shaped(_NAMED, ["d", "mo", "y", "h", "mi", "s", "fr", "z"], "named"),
         shaped(_NUMBER, ["num"], "number"),
-    )
-    df = df.withColumn("_p", parts)
+    ]
+    # a pattern is tried on what the ones before it left as it was
+    for shape in shapes:
+        df = df.withColumn("_m", F.when(F.col("_m").startswith("\u0001"), F.col("_m")).otherwise(shape) if "_m" in df.columns else shape)
+    parts = F.split("_m", "\u0001")
+    df = df.withColumn("_p", F.when(F.col("_m").startswith("\u0001"), F.struct(*(parts[i + 1].alias(n) for i, n in enumerate(["kind", *fields])))))
     p = lambda n: F.col(f"_p.{n}")
     hour, minute, second = (F.coalesce(p(n).try_cast("int"), F.lit(0)) for n in ("h", "mi", "s"))
     half = F.lower(p("half"))
@@ -109,56 +114,88 @@ def with_readings(df: DataFrame, text: str, zone: str) -> DataFrame:
 
     df = df.withColumns({"first": readings(F.col("_l1")), "second": readings(F.col("_l2"))})
     df = df.withColumns({"first_date": F.col("_l1").isNotNull(), "second_date": F.col("_l2").isNotNull(), "slash": F.coalesce(p("kind") == "slash", F.lit(False))})
-    return df.drop("_p", "_time", "_fixed", "_zone", "_epoch", "_l1", "_l2")
+    return df.drop("_m", "_p", "_time", "_fixed", "_zone", "_epoch", "_l1", "_l2")
 
 
-def _step(a: int, b: int) -> float:
+def _step(a: float, b: float) -> float:
     gap = b - a
     if gap < -TOLERANCE:
         return BACKWARD
-    return FORWARD * math.log1p(max(gap, 0) / 60e6)
-
-
-def _viterbi(values: list[list[int]], first: int | None = None, last: int | None = None) -> tuple[float, list[int]]:
-    """Cheapest choice of one value a record, and its cost; ``first`` and ``last`` fix the choice at the ends."""
-    if not values:
-        return 0.0, []
-    cost = [0.0 if first is None or i == first else math.inf for i in range(len(values[0]))]
-    back: list[list[int]] = []
-    for prev, now in zip(values, values[1:]):
-        if len(prev) == 1 and len(now) == 1:
-            cost = [cost[0] + _step(prev[0], now[0])]
-            back.append([0])
-            continue
-        new, links = [], []
-        for b in now:
-            c = [k + _step(a, b) for k, a in zip(cost, prev)]
-            j = min(range(len(c)), key=c.__getitem__)
-            new.append(c[j])
-            links.append(j)
-        cost = new
-        back.append(links)
-    end = min(range(len(cost)), key=cost.__getitem__) if last is None else last
-    picks = [end]
-    for links in reversed(back):
-        picks.append(links[picks[-1]])
-    return cost[end], picks[::-1]
+    return FORWARD * math.log1p(gap / 60e6) if gap > 0 else 0.0  # not a number before the first reading
+
+
+def _visited(rows: dict[str, np.ndarray], i: int, j: int) -> list[int]:
+    """Rows of [i, j) that a choice has to look at: those with more than one reading, the certain ones next to them, and the outermost.
 
+    The steps between the other rows are the same whatever is chosen.
+    """
+    values = rows["values"][i:j]
+    read = ~np.isnan(values)
+    at = np.flatnonzero(read.any(1))
+    if not len(at):
+        return []
+    certain = read[at, 0] & read[at, 2] & ~read[at, 1] & ~read[at, 3] & (values[at, 0] == values[at, 2])
+    seen = ~certain
+    seen[1:] |= ~certain[:-1]
+    seen[:-1] |= ~certain[1:]
+    seen[[0, -1]] = True
+    return (at[seen] + i).tolist()
+
+
+def _viterbi(rows: dict[str, np.ndarray], at: list[int], first: int | None = None) -> tuple[list[float], list[float], list[list[int]]]:
+    """Cheapest paths over the rows ``at`` to each state of the last one: their costs, last instants, and links back.
+
+    A state is a day-month order and one of at most two readings under it: 0 and 1 are readings day first, 2 and 3
+    month first. A row that an order can't read keeps the order's states. ``first`` fixes the state at the first row.
+    """
+    inf, nan = math.inf, math.nan
+    values, missed = rows["values"], rows["missed"]
+    cost, last, links = [], [], []
+    for t, r in enumerate(at):
+        v = values[r].tolist()
+        new, now, link = [inf] * 4, [nan] * 4, [-1] * 4
+        for o in (0, 2):
+            if v[o] == v[o]:
+                for s in (o, o + 1):
+                    x = v[s]
+                    if x != x:
+                        continue
+                    if not t:
+                        new[s], now[s] = 0.0, x
+                        continue
+                    best, via = inf, -1
+                    for q in range(4):
+                        c = cost[q]
+                        if c < inf:
+                            c += _step(last[q], x) + (SWITCH if (q < 2) != (o < 2) else 0.0)
+                            if c < best:
+                                best, via = c, q
+                    new[s], now[s], link[s] = best, x, via
+            else:
+                miss = missed[r, o // 2]
+                for s in (o, o + 1):
+                    new[s], now[s], link[s] = (cost[s] + miss, last[s], s) if t else (miss if s == o else inf, nan, -1)
+        if not t and first is not None:
+            new = [c if s == first else inf for s, c in enumerate(new)]
+        cost, last = new, now
+        links.append(link)
+    return cost, last, links
 
-def _piece(rows: dict[str, np.ndarray], i: int, j: int, order: int) -> tuple[list[int], list[list[int]], float]:
-    """Rows of [i, j) that have readings under a day-month order, those readings, and the cost of unreadable dates."""
-    a, b = (rows["a0"], rows["a1"]) if order == 0 else (rows["b0"], rows["b1"])
-    a, b = a[i:j], b[i:j]
-    at = np.flatnonzero(~np.isnan(a))
-    values = [[int(x)] if y != y else [int(x), int(y)] for x, y in zip(a[at], b[at])]
-    unread = rows["slash"][i:j] & ~rows["ok0" if order == 0 else "ok1"][i:j] & rows["ok1" if order == 0 else "ok0"][i:j]
-    return (at + i).tolist(), values, UNREADABLE * float(unread.sum())
+
+def _picked(links: list[list[int]], end: int) -> list[int]:
+    picks = [end]
+    for link in reversed(links[1:]):
+        picks.append(link[picks[-1]])
+    return picks[::-1]
 
 
 def _columns(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+    """values: the readings by state; missed: the cost of a slash date that an order can't read and the other can."""
     # instants of this era stay exact in a double up to 2^53 microseconds
-    c = {n: pdf[n].to_numpy(dtype=float) for n in ("a0", "a1", "b0", "b1")}
-    return c | {"slash": pdf["slash"].to_numpy(dtype=bool), "ok0": pdf["first_date"].to_numpy(dtype=bool), "ok1": pdf["second_date"].to_numpy(dtype=bool)}
+    values = pdf[["a0", "a1", "b0", "b1"]].to_numpy(dtype=float)
+    slash, ok0, ok1 = (pdf[c].to_numpy(dtype=bool) for c in ("slash", "first_date", "second_date"))
+    missed = np.stack([slash & ~ok0 & ok1, slash & ~ok1 & ok0], axis=1) * UNREADABLE
+    return {"values": values, "missed": missed}
 
 
 def utc_instants(records: DataFrame, zones: DataFrame, key: str, source: str, text: str, zone: str, order: list[str] | None = None) -> DataFrame:
@@ -166,8 +203,9 @@ def utc_instants(records: DataFrame, zones: DataFrame, key: str, source: str, te
 
     Records of one ``source`` follow each other by ``order`` (``key`` if not given); ``zones`` gives the
     time zone of a source (null, or no row: UTC; given twice: the smallest). Choices are the cheapest by
-    Viterbi over that order: steps back in time and dates that the source's one day-month order can't read
-    cost most, long steps forward a little. Repeated keys count once, with their smallest text; null keys
+    Viterbi over that order, whose states are the readings under either day-month order: switches between
+    the two formats, dates that the format can't read and steps back in time cost most, long steps forward a little.
+    Numbers outside the years of ``EPOCH_YEARS`` name no instant. Repeated keys count once, with their smallest text; null keys
     are left out, records of a null source form one source. Empty tables give no rows.
 
     A source of any size spreads over many partitions. For each piece of a source that crosses a cut, the
@@ -177,14 +215,17 @@ def utc_instants(records: DataFrame, zones: DataFrame, key: str, source: str, te
     order = order or [key]
     rows = records.where(F.col(key).isNotNull()).groupBy(source, key, *[o for o in order if o != key]).agg(F.min(text).alias("_text"))
     tz = zones.where(F.col(source).isNotNull()).groupBy(source).agg(F.min(zone).alias("_tz"))
-    rows = with_readings(rows.join(tz, source, "left"), "_text", "_tz")
+    rows = rows.join(tz, source, "left")
     pick = lambda c, i: F.get(F.col(c), F.lit(i)).cast("double")
-    rows = rows.select(  # a filter here would repeat all the reading below it
-        source, *order, *([key] if key not in order else []),
-        pick("first", 0).alias("a0"), pick("first", 1).alias("a1"), pick("second", 0).alias("b0"), pick("second", 1).alias("b1"),
-        "slash", "first_date", "second_date",
-    )
-    parts = ordered_partitions(rows, [source], order, halo=1)
+
+    def read(ranged: DataFrame) -> DataFrame:
+        return with_readings(ranged, "_text", "_tz").select(
+            source, *order, *([key] if key not in order else []),
+            pick("first", 0).alias("a0"), pick("first", 1).alias("a1"), pick("second", 0).alias("b0"), pick("second", 1).alias("b1"),
+            "slash", "first_date", "second_date",
+        )
+
+    parts = ordered_partitions(rows, [source], order, halo=1, then=read)
     fixed = _join_pieces(parts, source) if parts.spanning else {}
     sent = parts.df.sparkSession.sparkContext.broadcast(fixed)
 
@@ -193,27 +234,21 @@ def utc_instants(records: DataFrame, zones: DataFrame, key: str, source: str, te
         rows = _columns(pdf)
         starts, _ = group_codes(pdf, [source])
         ends = np.append(starts[1:], len(pdf))
-        out = rows["a0"].copy()
-        several = ~np.isnan(rows["a1"]) | rows["slash"] | ~np.isnan(rows["b1"])
+        values = rows["values"]
+        out = values[:, 0].copy()
+        several = ~np.isnan(values[:, 1]) | pdf["slash"].to_numpy(dtype=bool) | ~np.isnan(values[:, 3])
         for i, j in zip(starts.tolist(), ends.tolist()):
             name = pdf[source].iat[i]
-            known = sent.value.get((pid, None if pd.isna(name) else name))
+            first, last = sent.value.get((pid, None if pd.isna(name) else name), (None, None))
             if not several[i:j].any():
                 continue
-            if known is not None:
-                chosen, first, last = known
-                at, values, _ = _piece(rows, i, j, chosen)
-                picks = _viterbi(values, first, last)[1] if values else []
-            else:
-                best = None
-                for o in (0, 1) if rows["slash"][i:j].any() else (0,):
-                    at_o, values_o, miss = _piece(rows, i, j, o)
-                    cost, picks_o = _viterbi(values_o)
-                    if best is None or cost + miss < best[0]:
-                        best = (cost + miss, at_o, values_o, picks_o)
-                _, at, values, picks = best
-            out[i:j] = np.nan
-            out[at] = [v[k] for v, k in zip(values, picks)]
+            at = _visited(rows, i, j)
+            if not at:
+                continue
+            cost, _, links = _viterbi(rows, at, first)
+            picks = _picked(links, min(range(4), key=cost.__getitem__) if last is None else last)
+            # a state kept over a row that its order can't read is no reading of that row
+            out[at] = [values[r, p] if values[r, p - p % 2] == values[r, p - p % 2] else math.nan for r, p in zip(at, picks)]
         named = ~np.isnan(out)
         return pd.DataFrame({key: pdf[key][named], "utc_ms": np.floor_divide(out[named].astype(np.int64), 1000)})
 
@@ -221,7 +256,7 @@ def utc_instants(records: DataFrame, zones: DataFrame, key: str, source: str, te
 
 
 def _join_pieces(parts, source: str) -> dict:
-    """(partition, source) -> (day-month order, choice at the first row, at the last) for sources that cross a cut."""
+    """(partition, source) -> (state at the first row, at the last) for sources that cross a cut."""
     spanning = parts.df.sparkSession.sparkContext.broadcast({k[0] for k in parts.spanning})
 
     def costs(pdf: pd.DataFrame, pid: int) -> pd.DataFrame:
@@ -235,52 +270,38 @@ def _join_pieces(parts, source: str) -> dict:
             name = "\0null" if pd.isna(name) else name
             if name not in spanning.value:
                 continue
-            for o in (0, 1):
-                _, values, miss = _piece(rows, i, j, o)
-                heads, tails = (values[0], values[-1]) if values else ([], [])
-                matrix = []
-                for f in range(len(heads)):
-                    for t in range(len(tails)):
-                        same = len(values) == 1 and f != t
-                        matrix.append(math.inf if same else _viterbi(values, f, t)[0])
-                found.append((pid, name, o, heads, tails, matrix, miss))
-        return pd.DataFrame(found, columns=["pid", "name", "o", "heads", "tails", "matrix", "miss"])
-
-    table = parts.map(costs, "pid int, name string, o int, heads array<bigint>, tails array<bigint>, matrix array<double>, miss double").toPandas()
+            at = _visited(rows, i, j)
+            runs = [_viterbi(rows, at, f)[:2] for f in range(4)] if at else []
+            heads = rows["values"][at[0]].tolist() if at else []
+            found.append((pid, name, heads, [c for r in runs for c in r[0]], [v for r in runs for v in r[1]]))
+        return pd.DataFrame(found, columns=["pid", "name", "heads", "matrix", "tails"])
+
+    table = parts.map(costs, "pid int, name string, heads array<double>, matrix array<double>, tails array<double>").toPandas()
     fixed: dict = {}
     for name, pieces in table.groupby("name"):
-        best = None
-        for o, own in pieces.groupby("o"):
-            own = own.sort_values("pid")
-            total, state, trail = float(own["miss"].sum()), None, []
-            for _, p in own.iterrows():
-                heads, tails = list(p["heads"]), list(p["tails"])
-                if not heads:
-                    trail.append((int(p["pid"]), None))
-                    continue
-                m = np.asarray(p["matrix"], dtype=float).reshape(len(heads), len(tails))
-                if state is None:
-                    enter, via = np.zeros(len(heads)), [0] * len(heads)
-                else:
-                    steps = np.array([[c + _step(a, b) for c, a in zip(*state)] for b in heads])
-                    enter, via = steps.min(1), steps.argmin(1).tolist()
-                full = enter[:, None] + m
-                trail.append((int(p["pid"]), (full.argmin(0).tolist(), via)))
-                state = (full.min(0).tolist(), tails)
-            if state is not None:
-                total += min(state[0])
-            if best is None or total < best[0]:
-                best = (total, int(o), state, trail)
-        _, o, state, trail = best
-        last = int(np.argmin(state[0])) if state is not None else None
-        for pid, links in reversed(trail):
-            label = None if name == "\0null" else name
-            if links is None:
-                fixed[pid, label] = (o, None, None)
+        label = None if name == "\0null" else name
+        reach, trail = None, []  # cheapest cost and last instant by state
+        for _, p in pieces.sort_values("pid").iterrows():
+            if not len(p["heads"]):
+                trail.append((int(p["pid"]), None, None))
+                continue
+            heads, m, tails = (np.asarray(p[c], dtype=float) for c in ("heads", "matrix", "tails"))
+            m, tails = m.reshape(4, 4), tails.reshape(4, 4)
+            enter, via = np.zeros(4), [0] * 4
+            if reach is not None:
+                steps = np.array([[c + _step(v, heads[f]) + (SWITCH if (q < 2) != (f < 2) else 0.0) for q, (c, v) in enumerate(zip(*reach))] for f in range(4)])
+                enter, via = steps.min(1), steps.argmin(1).tolist()
+            full = enter[:, None] + m
+            came = full.argmin(0)
+            trail.append((int(p["pid"]), came.tolist(), via))
+            reach = (full.min(0).tolist(), tails[came, np.arange(4)].tolist())
+        last = int(np.argmin(reach[0])) if reach is not None else None
+        for pid, came, via in reversed(trail):
+            if came is None:
+                fixed[pid, label] = (None, None)
                 continue
-            first = links[0][last]
-            fixed[pid, label] = (o, first, last)
-            last = links[1][first]
+            fixed[pid, label] = (came[last], last)
+            last = via[came[last]]
     return fixed
 
 

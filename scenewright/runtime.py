@@ -170,14 +170,17 @@ class OrderedPartitions:
         return self.df.mapInPandas(run, schema)
 
 
-def ordered_partitions(df: DataFrame, group: list[str], order: list[str], halo: int) -> OrderedPartitions:
+def ordered_partitions(df: DataFrame, group: list[str], order: list[str], halo: int, then: Callable[[DataFrame], DataFrame] | None = None) -> OrderedPartitions:
     """Range-partition ``df`` by (group, order), checkpoint it and collect its partition edges.
 
     Rows whose group is null form one group of their own. What reaches the driver is at most
-    ``2 * halo`` rows a partition.
+    ``2 * halo`` rows a partition. Range partitioning runs its input twice, once for a sample: ``then``
+    (narrow, it keeps the keys) is applied after it and runs once.
     """
     keys = [*group, *order]
-    placed = checkpointed(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_pid", F.spark_partition_id()))
+    ranged = df.repartitionByRange(*keys)
+    ranged = then(ranged) if then else ranged
+    placed = checkpointed(ranged.sortWithinPartitions(*keys).withColumn("_pid", F.spark_partition_id()))
 
     def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         head, tail, n = None, None, 0

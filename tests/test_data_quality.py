@@ -290,3 +290,13 @@ def test_the_last_sign_of_a_number_is_the_decimal_one():
     assert units.read_width("1.234,5 px")[0] == 1234.5 and units.read_width("1,234.5 px")[0] == 1234.5
     assert units.read_focal("1.013,5 ‰")[0] == 1.0135
     assert np.isnan(units.read_width("17.3 cm at  dpi")).all() and np.isnan(units.read_width("")).all() and np.isnan(units.read_focal(None)).all()
+
+
+def test_a_switch_of_date_format_costs_and_the_other_rows_settle_it(spark):
+    rows = [("n1", "n", "05/06/2022 10:00:00 AM", ""), ("n2", "n", "06/06/2022 10:00:00 AM", ""), ("n3", "n", "13/06/2022 10:00:00 AM", ""), ("n4", "n", "2022-06-14T15:00:00Z", "")]
+    got = instants(spark, rows)
+    assert [got[f"n{i}"] for i in (1, 2, 3)] == [ms(2022, 6, d, 10, zone="America/New_York") for d in (5, 6, 13)]
+    # a date that only the other order reads names no instant when the rest of the group speaks against it
+    rows += [(f"n5{i}", "n", f"{15 + i}/06/2022 10:00:00 AM", "") for i in range(3)] + [("n9", "n", "06/25/2022 10:00:00 AM", "")]
+    got = instants(spark, rows)
+    assert "n9" not in got and got["n1"] == ms(2022, 6, 5, 10, zone="America/New_York")
