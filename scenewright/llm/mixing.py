@@ -6,19 +6,20 @@ import base64
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import written
+from ..runtime import broadcast_if_small, written
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the public byte-level vocabulary cuts text before merging.
 PRETOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Membership patterns that may reach the driver; records of one pattern ordered in one task.
-MAX_PATTERNS = 100_000
+#: Records of one pattern ordered in one task; bytes that a row of the plan takes at most for each source of its pattern.
 BUCKET_ROWS = 100_000
+_PLAN_BYTES = 128
 
 
 @lru_cache(maxsize=4)
@@ -42,54 +43,77 @@ def with_token_counts(df: DataFrame, text: str = "text", name: str = "n_tokens",
     return df.withColumn(name, count(F.col(text)))
 
 
-class MinCostFlow:
-    """Successive shortest paths with Bellman-Ford; for graphs of a few thousand arcs."""
-
-    def __init__(self, n: int):
-        self.out: list[list[int]] = [[] for _ in range(n)]
-        self.to: list[int] = []
-        self.room: list[int] = []
-        self.cost: list[int] = []
-
-    def arc(self, a: int, b: int, room: int, cost: int) -> int:
-        for x, y, r, c in ((a, b, room, cost), (b, a, 0, -cost)):
-            self.out[x].append(len(self.to))
-            self.to.append(y)
-            self.room.append(r)
-            self.cost.append(c)
-        return len(self.to) - 2
-
-    def run(self, s: int, t: int) -> int:
-        total = 0
-        while True:
-            dist: list[int | None] = [None] * len(self.out)
-            via = [-1] * len(self.out)
-            dist[s], queue = 0, [s]
-            waiting = {s}
-            while queue:
-                x = queue.pop(0)
-                waiting.discard(x)
-                for e in self.out[x]:
-                    y = self.to[e]
-                    if self.room[e] > 0 and (dist[y] is None or dist[x] + self.cost[e] < dist[y]):
-                        dist[y], via[y] = dist[x] + self.cost[e], e
-                        if y not in waiting:
-                            waiting.add(y)
-                            queue.append(y)
-            if dist[t] is None:
-                return total
-            push, y = None, t
-            while y != s:
-                e = via[y]
-                push = self.room[e] if push is None else min(push, self.room[e])
-                y = self.to[e ^ 1]
-            y = t
-            while y != s:
-                e = via[y]
-                self.room[e] -= push
-                self.room[e ^ 1] += push
-                y = self.to[e ^ 1]
-            total += push
+class PatternFlow:
+    """Min-cost flow from patterns to sources, whole arrays of patterns at a time.
+
+    The k-th use of a token costs k - 1 whatever source it goes to, so successive shortest paths run through
+    the costs in rising order, and within one cost all paths are equally short: a source takes tokens from patterns
+    with room at that cost, or takes them over from another source that shares a pattern, which in turn takes others.
+    A search visits sources, not patterns; one push moves what all patterns of a step have together. Its time grows
+    with the arcs (pairs of a pattern and one of its sources) times the pushes, and these with the sources.
+    """
+
+    def __init__(self, arc_pattern: np.ndarray, arc_source: np.ndarray, capacity: np.ndarray, quota: np.ndarray, repeats: np.ndarray):
+        self.p, self.x = arc_pattern, arc_source
+        self.capacity, self.unmet, self.repeats = capacity, quota.copy(), repeats
+        self.flow = np.zeros(len(arc_pattern), dtype=np.int64)
+        self.limit = capacity[arc_pattern] * repeats[arc_source]
+        self.used = np.zeros(len(capacity), dtype=np.int64)
+        self.most = np.zeros(len(capacity), dtype=np.int64)
+        np.maximum.at(self.most, arc_pattern, repeats[arc_source])
+        self.arcs_of = [np.flatnonzero(arc_source == x) for x in range(len(quota))]
+
+    def _path(self, room: np.ndarray) -> list[int] | None:
+        """Sources from one that a pattern with room serves to one whose quota is not met."""
+        free = self.flow < self.limit
+        n = len(self.unmet)
+        came = {int(x): -1 for x in np.flatnonzero(np.bincount(self.x[free & (room[self.p] > 0)], minlength=n))}
+        queue = list(came)
+        for x in queue:
+            if self.unmet[x] > 0:
+                path = [x]
+                while came[path[-1]] >= 0:
+                    path.append(came[path[-1]])
+                return path[::-1]
+            own = self.arcs_of[x]
+            giving = np.zeros(len(self.capacity), dtype=bool)
+            giving[self.p[own[self.flow[own] > 0]]] = True
+            for y in np.flatnonzero(np.bincount(self.x[free & giving[self.p]], minlength=n)).tolist():
+                if y not in came:
+                    came[y] = x
+                    queue.append(y)
+        return None
+
+    def _steps(self, room: np.ndarray, path: list[int]) -> list[tuple[np.ndarray, np.ndarray | None, np.ndarray]]:
+        """(arcs that gain, arcs that lose, how much each can move) for each step of a path."""
+        first = self.arcs_of[path[0]]
+        steps = [(first, None, np.minimum(room[self.p[first]], self.limit[first] - self.flow[first]))]
+        for x, y in zip(path, path[1:]):
+            lose, gain = self.arcs_of[x], self.arcs_of[y]
+            _, i, j = np.intersect1d(self.p[lose], self.p[gain], assume_unique=True, return_indices=True)
+            lose, gain = lose[i], gain[j]
+            steps.append((gain, lose, np.minimum(self.flow[lose], self.limit[gain] - self.flow[gain])))
+        return steps
+
+    def run(self) -> np.ndarray:
+        """Tokens on each arc."""
+        for k in range(int(self.most.max(initial=0))):
+            while True:
+                room = np.where(k < self.most, np.maximum(self.capacity * (k + 1) - self.used, 0), 0)
+                path = self._path(room)
+                if path is None:
+                    break
+                steps = self._steps(room, path)
+                push = min(int(self.unmet[path[-1]]), *(int(c.sum()) for *_, c in steps))
+                for gain, lose, c in steps:
+                    move = np.clip(push - (np.cumsum(c) - c), 0, c)
+                    self.flow[gain] += move
+                    if lose is None:
+                        self.used[self.p[gain]] += move
+                    else:
+                        self.flow[lose] -= move
+                self.unmet[path[-1]] -= push
+        return self.flow
 
 
 def routed(capacity: dict[tuple[str, ...], int], quota: dict[str, int], repeats: dict[str, int]) -> dict[tuple[str, ...], dict[str, int]]:
@@ -100,20 +124,15 @@ def routed(capacity: dict[tuple[str, ...], int], quota: dict[str, int], repeats:
     source's ``repeats`` times.
     """
     patterns, sources = sorted(capacity), sorted(quota)
-    s, t = 0, 1
-    p_at = {p: 2 + i for i, p in enumerate(patterns)}
-    s_at = {x: 2 + len(patterns) + i for i, x in enumerate(sources)}
-    g = MinCostFlow(2 + len(patterns) + len(sources))
-    arcs = {}
-    for p in patterns:
-        for k in range(max(repeats[x] for x in p)):
-            g.arc(s, p_at[p], capacity[p], k)
-        for x in p:
-            arcs[p, x] = g.arc(p_at[p], s_at[x], capacity[p] * repeats[x], 0)
-    for x in sources:
-        g.arc(s_at[x], t, quota[x], 0)
-    g.run(s, t)
-    return {p: {x: g.room[arcs[p, x] ^ 1] for x in p} for p in patterns}
+    number = {x: i for i, x in enumerate(sources)}
+    arcs = [(i, number[x]) for i, p in enumerate(patterns) for x in p]
+    arc_p, arc_x = (np.array(a, dtype=np.int64) for a in (zip(*arcs) if arcs else ((), ())))
+    as_array = lambda values: np.array(values, dtype=np.int64)
+    flow = PatternFlow(arc_p, arc_x, as_array([capacity[p] for p in patterns]), as_array([quota[x] for x in sources]), as_array([repeats[x] for x in sources])).run().tolist()
+    out: dict[tuple[str, ...], dict[str, int]] = {p: {} for p in patterns}
+    for (i, x), v in zip(arcs, flow):
+        out[patterns[i]][sources[x]] = v
+    return out
 
 
 def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 0, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
@@ -129,7 +148,7 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     without target, and targets that are null or not positive take no part; of repeated targets the largest
     counts. Shares are met to within one document at either end of a source's stretch.
 
-    Only sums per pattern reach the driver. A pattern's documents are laid on a line in seeded order, as
+    Only sums per pattern reach the driver, which routes them (:class:`PatternFlow`). A pattern's documents are laid on a line in seeded order, as
     often as they are used, and the line is cut into its sources' stretches; offsets on the line come from
     sums of hash buckets and a running sum within each, so no task orders a whole pattern.
     """
@@ -141,8 +160,6 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     records = each.groupBy("fp").agg(F.max("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("source", "doc_id"))).alias("members"))
     records = written(records.withColumn("pattern", F.transform("members", lambda m: m["source"])).withColumn("h", F.xxhash64(F.lit(seed), "fp")))
     sums = records.groupBy("pattern").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
-    if sums.count() > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} combinations of sources")
     rows = sums.collect()
     capacity = {tuple(r["pattern"]): int(r["tokens"]) for r in rows}
     total = sum(capacity.values()) if total_tokens is None else total_tokens
@@ -159,7 +176,8 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
             at += flow[p][x]
         plan.append((list(p), capacity[p], at, max(1, int(r["n"]) // BUCKET_ROWS + 1), stretches))
     plan_df = spark.createDataFrame(plan, "pattern array<string>, capacity long, length long, buckets int, stretches array<struct<source:string,a:long,b:long>>")
-    laid = records.join(F.broadcast(plan_df), "pattern").where("length > 0").withColumn("bucket", F.pmod("h", F.col("buckets")))
+    plan_df = broadcast_if_small(plan_df, sum(len(r["pattern"]) + 1 for r in rows), _PLAN_BYTES)
+    laid = records.join(plan_df, "pattern").where("length > 0").withColumn("bucket", F.pmod("h", F.col("buckets")))
     base = laid.groupBy("pattern", "bucket").agg(F.sum("n_tokens").alias("t"))
     before = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = base.select("pattern", "bucket", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("base"))
