@@ -79,8 +79,8 @@ _P3 = """
 with recursive
 ok as (select im1 || '#' || f1 a, im2 || '#' || f2 b from matches where im1 is not null and im2 is not null and f1 >= 0 and f2 >= 0),
 refs as (
-  select id || coalesce(ingested_at::varchar, '') p, nullif(lower(regexp_replace(o.shot_id, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')), '') s
-  from (select id, ingested_at, unnest(observations) o from ground_control_points)),
+  select p, nullif(lower(regexp_replace(o.shot_id, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')), '') s
+  from (select coalesce('i' || id, 'r' || row_number() over ()) p, unnest(observations) o from ground_control_points)),
 links as (
   select distinct 'feature' kind, a, b from ok
   union select distinct 'shot', min(s) over (partition by p), s from refs where s is not null),

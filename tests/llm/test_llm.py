@@ -217,3 +217,73 @@ def test_content_more_labels_than_learned(spark):
 def test_disguises_come_off():
     for s in ("s t u p i d _ p i g", "s.t.u.p.i.d pig", "stuuuupid pig", "st​upid pig", "stup1d p1g", "ѕtupid pіg", "STUPID PIG"):
         assert content.plain(f"Shut up, you {s}!").replace(" ", "") == "shutupyoustupidpig"
+
+
+def test_components_by_contraction_and_by_rounds_agree_with_union_find(spark):
+    r = np.random.RandomState(5)
+    edges = [(int(a), int(b)) for a, b in r.randint(0, 400, (300, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(7, 7), (5000, 5000), (None, 3)]
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None:
+            a, b = sorted((find(a), find(b)))
+            parent[b] = a
+    want = {frozenset(y for y in parent if find(y) == x) for x in {find(y) for y in parent}}
+    df = spark.createDataFrame(edges, "u long, v long").repartition(7)
+    for most in (0, 5, 1_000_000):
+        groups = {}
+        for x in components.components(df, task_edges=most).collect():
+            groups.setdefault(x.root, set()).add(x.node)
+        assert {frozenset(g) for g in groups.values()} == want
+
+
+def test_hot_groups_shared_hashes_and_points_with_several_rows(spark, monkeypatch):
+    links = spark.createDataFrame([("k", f"a{i}", f"a{i + 1}") for i in range(200)] + [("k", f"b{i}", f"b{i}") for i in range(200)] + [("k", None, "x")], "kind string, a string, b string")
+    want = {("k", f"a{i}", "a0") for i in range(201)} | {("k", f"b{i}", f"b{i}") for i in range(200)}
+    assert {tuple(x) for x in components.grouped_records(links, hot_rows=50).collect()} == want
+    full = F.xxhash64
+    monkeypatch.setattr(F, "xxhash64", lambda *c: F.pmod(full(*c), F.lit(1 << 13)))
+    assert {tuple(x) for x in components.grouped_records(links).collect()} == want
+    monkeypatch.undo()
+    g = spark.createDataFrame([("p", ["s1"], 1), ("p", ["s2", " S3"], 2), (None, ["s4", "s5"], 3), (None, ["s6"], 3), ("q", None, 4)], "id string, shots array<string>, other int")
+    g = g.withColumn("observations", F.transform("shots", lambda x: F.struct(x.alias("shot_id"))))
+    m = spark.createDataFrame([], "im1 string, im2 string, f1 int, f2 int")
+    got = {(x.record_key, x.group_key) for x in components.consolidate(m, g).collect()}
+    assert got == {("s1", "s1"), ("s2", "s1"), ("s3", "s1"), ("s4", "s4"), ("s5", "s4"), ("s6", "s6")}
+
+
+def test_pattern_flow_meets_most_of_the_quotas_at_least_cost():
+    from itertools import product
+
+    r = np.random.RandomState(2)
+    for _ in range(40):
+        sources = ["a", "b", "c"][: r.randint(1, 4)]
+        every = [p for p in (("a",), ("b",), ("c",), ("a", "b"), ("b", "c"), ("a", "c")) if set(p) <= set(sources)]
+        patterns = [every[i] for i in r.permutation(len(every))[:2]]
+        capacity = {p: int(r.randint(1, 4)) for p in patterns}
+        quota, repeats = {x: int(r.randint(0, 7)) for x in sources}, {x: int(r.randint(1, 4)) for x in sources}
+        arcs = [(p, x) for p in patterns for x in p]
+        worth = lambda f: (-sum(f.values()), sum(max(0, sum(f[p, x] for x in p) - k * capacity[p]) for p in patterns for k in range(1, 4)))
+        best = None
+        for amounts in product(*(range(min(quota[x], capacity[p] * repeats[x]) + 1) for p, x in arcs)):
+            f = dict(zip(arcs, amounts))
+            fits = all(sum(f[p, y] for p, y in arcs if y == x) <= quota[x] for x in sources) and all(sum(f[p, x] for x in p) <= capacity[p] * max(repeats[x] for x in p) for p in patterns)
+            if fits and (best is None or worth(f) < best):
+                best = worth(f)
+        got = mixing.routed(capacity, quota, repeats)
+        assert worth({(p, x): got[p][x] for p, x in arcs}) == best
+
+
+def test_many_patterns_are_routed():
+    r = np.random.RandomState(3)
+    sources = [f"s{i:02d}" for i in range(20)]
+    patterns = {tuple(sorted(r.choice(sources, r.randint(1, 8), replace=False).tolist())) for _ in range(20_000)}
+    capacity = {p: int(r.randint(1, 10**6)) for p in patterns}
+    flow = mixing.routed(capacity, {x: sum(capacity.values()) // 25 for x in sources}, dict.fromkeys(sources, 2))
+    assert sum(sum(f.values()) for f in flow.values()) == sum(capacity.values()) // 25 * 20
