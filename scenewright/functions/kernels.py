@@ -47,6 +47,16 @@ def ransac(n: int, sample: int, estimate, errors, threshold: float, rounds: int
     return (estimate(np.flatnonzero(best)) if best.sum() >= sample else None), best
 
 
+def scores(errors: np.ndarray, threshold: float) -> dict[str, float]:
+    """Scores of a model by its errors: inliers, truncated squares (msac), and the median, whose own threshold is 1.4826 times the median deviation (lmeds)."""
+    e = np.abs(errors[np.isfinite(errors)])
+    if not len(e):
+        return {"ransac": 0.0, "msac": 0.0, "lmeds": 0.0, "lmeds_threshold": 0.0}
+    middle = float(np.median(e))
+    spread = 1.4826 * float(np.median(np.abs(e - middle)))
+    return {"ransac": float((e < threshold).sum()), "msac": 1.0 / (float(np.minimum(e**2, threshold**2).sum()) + 1e-8), "lmeds": 1.0 / (middle + 1e-8), "lmeds_threshold": middle + spread}
+
+
 def fit_line(points: np.ndarray, threshold: float) -> tuple[tuple[float, float] | None, np.ndarray]:
     """Slope and intercept of the line with most points within ``threshold`` of it."""
 
@@ -60,13 +70,13 @@ def fit_line(points: np.ndarray, threshold: float) -> tuple[tuple[float, float]
     return ransac(len(points), 2, estimate, errors, threshold)
 
 
-def fit_similarity(source: np.ndarray, target: np.ndarray, threshold: float):
+def fit_similarity(source: np.ndarray, target: np.ndarray, threshold: float, rounds: int = 500):
     """The similarity with most points carried to within ``threshold`` of their targets."""
 
     def errors(m):
         return np.linalg.norm(m[0] * source @ m[1].T + m[2] - target, axis=1)
 
-    return ransac(len(source), 3, lambda i: similarity(source[i], target[i]), errors, threshold)
+    return ransac(len(source), 3, lambda i: similarity(source[i], target[i]), errors, threshold, rounds)
 
 
 def rotation_from_angle_axis(v: np.ndarray) -> np.ndarray:

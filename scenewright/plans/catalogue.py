@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import data_quality, scene
+from . import data_quality, reconstruction, scene
 
-QUERIES = {**data_quality.QUERIES, **scene.QUERIES}
-ORACLE = {**data_quality.ORACLE, **scene.ORACLE}
+QUERIES = {**data_quality.QUERIES, **scene.QUERIES, **reconstruction.QUERIES}
+ORACLE = {**data_quality.ORACLE, **scene.ORACLE, **reconstruction.ORACLE}
 FLAGSHIP = "covisibility_pairs"

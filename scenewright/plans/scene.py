@@ -9,7 +9,7 @@ from ..functions import exif as fx
 from ..functions import geo
 from ..operators import graph, observations, retrieval, statistics, timeline
 from ..operators import proximity
-from ..runtime import table
+from ..runtime import ranked, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -304,11 +304,11 @@ def error_distribution(spark, d):
     return s.select("sequence_key", *(F.round(c, 6).alias(c) for c in ("median_e", "median_n", "robust_sigma")))
 
 
-@query(f"""with v as (select gps_accuracy v from {_POS} where gps_accuracy between 0 and 1000), r as (select min(v) lo, max(v) hi from v),
+@query(f"""with v as (select gps_accuracy v from {_POS} where isfinite(gps_accuracy)), r as (select min(v) lo, max(v) hi from v),
   b as (select least(floor((v - lo) / ((hi - lo) / 30)), 29)::int bin, count(*) n from v, r group by 1)
   select range::int bin, coalesce(n, 0) n from range(30) left join b on b.bin = range""")
 def histogram_30(spark, d):
-    return statistics.equal_width_histogram(_positions(spark, d).where("gps_accuracy between 0 and 1000"), "gps_accuracy", 30)
+    return statistics.equal_width_histogram(_positions(spark, d).where(F.abs("gps_accuracy") < float("inf")), "gps_accuracy", 30)
 
 
 @query(f"""select sequence_key, round(sum(w * e) / sum(w), 6) east, round(sum(w * n) / sum(w), 6) north from (
@@ -379,8 +379,8 @@ def rig_groups(spark, d):
 def group_bearings(spark, d):
     """Initial bearing from each group's reference to the next group's."""
     g = table(spark, d, "image_groups").select("sequence_key", "reference_lla").distinct()
-    w = Window.orderBy("sequence_key")  # groups are few: one row a sequence
-    g = g.withColumn("next", F.lead("reference_lla").over(w)).where("next is not null")
+    g = ranked(g, ["sequence_key"], "at")
+    g = g.join(g.select((F.col("at") - 1).alias("at"), F.col("reference_lla").alias("next")), "at").where("next is not null")
     b = geo.bearing_degrees("reference_lla.latitude", "reference_lla.longitude", "next.latitude", "next.longitude")
     return g.select("sequence_key", F.round(b, 4).alias("bearing"))
 
@@ -412,13 +412,13 @@ def mutual_matches(spark, d):
     return n.intersect(n.select(F.col("im2").alias("im1"), F.col("im1").alias("im2"))).where("im1 < im2")
 
 
-_TF = r"""tf as (select doc_id, word, count(*) n from (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) word from documents) group by 1, 2),
+_TF = r"""tf as (select doc_id, word, count(*) n from (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}]+')) word from documents) group by 1, 2),
   fr as (select word, sum(n) freq from tf group by 1), raw as (select doc_id, word, n * ln((select sum(freq) from fr) / freq) r from tf join fr using (word)),
   h as (select doc_id, word, r / sum(r) over (partition by doc_id) weight from raw)"""
 
 
 def _histograms(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)")).alias("words"))
+    docs = table(spark, d, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{M}]+)")).alias("words"))
     return retrieval.word_histograms(docs, "doc_id", "words")
 
 
@@ -428,16 +428,23 @@ def bow_histograms(spark, d):
 
 
 @query(f"""with {_TF}, s as (select q.doc_id query, o.doc_id other, abs(round(2 - 2 * sum(least(q.weight, o.weight)), 9)) distance from h q join h o using (word)
-  where q.doc_id % 50 = 0 and q.doc_id <> o.doc_id group by 1, 2)
-  select query, other, round(distance, 6) distance from (select *, row_number() over (partition by query order by distance, other) r from s) where r <= 5""")
+  where q.doc_id % 50 = 0 and q.doc_id <> o.doc_id group by 1, 2),
+  f as (select q.doc_id query, o.doc_id other, 2.0 distance from (select distinct doc_id from documents where doc_id % 50 = 0) q, (select distinct doc_id from documents where doc_id is not null order by 1 limit 10) o
+    where q.doc_id <> o.doc_id and not exists (from s where s.query = q.doc_id and s.other = o.doc_id))
+  select query, other, round(distance, 6) distance from (select *, row_number() over (partition by query order by distance, other) r from (from s union all from f)) where r <= 5""")
 def bow_topk(spark, d):
-    """The five nearest documents that share a word with it, fewer if fewer do, for every document whose id is divisible by 50."""
+    """The five nearest documents for every document whose id is divisible by 50; what shares no word is at distance 2.
+
+    A query with fewer than five partners that share a word takes the smallest other ids, of which ten are enough.
+    """
     h = _histograms(spark, d)
-    q = h.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query"), "word", F.col("weight").alias("q"))
-    o = h.select(F.col("doc_id").alias("other"), "word", F.col("weight").alias("o"))
-    s = q.join(o, "word").where("query <> other").groupBy("query", "other").agg(F.abs(F.round(2 - 2 * F.sum(F.least("q", "o")), 9)).alias("distance"))
+    shared = retrieval.histogram_neighbours(h.where("doc_id % 50 = 0"), h, "doc_id", 5)
+    ids = table(spark, d, "documents").where("doc_id is not null").select("doc_id").distinct()
+    first = ids.orderBy("doc_id").limit(10).agg(F.array_sort(F.collect_list("doc_id")).alias("first"))
+    rest = ids.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query")).join(F.broadcast(first)).select("query", F.explode("first").alias("other"), F.lit(2.0).alias("distance"))
+    rest = rest.where("query <> other").join(shared.select("query", "other"), ["query", "other"], "left_anti")
     w = Window.partitionBy("query").orderBy("distance", "other")
-    return s.withColumn("r", F.row_number().over(w)).where("r <= 5").select("query", "other", F.round("distance", 6).alias("distance"))
+    return shared.unionByName(rest).withColumn("r", F.row_number().over(w)).where("r <= 5").select("query", "other", F.round("distance", 6).alias("distance"))
 
 
 @query("""with x as (select vec_id, label image, unnest(embedding::double[]) v, unnest(range(64)) dim from embeddings),
@@ -448,11 +455,15 @@ def bow_topk(spark, d):
   select image, centre, dim::int dim, round(r / sqrt(sum(r * r) over (partition by image)), 6) "value" from s""")
 def vlad_vectors(spark, d):
     """Vectors of residuals of each label's features about eight centres (means of the ids' remainders)."""
+    return vlad_parts(spark, d).select("image", "centre", "dim", F.round("value", 6).alias("value"))
+
+
+def vlad_parts(spark, d):
     e = table(spark, d, "embeddings").withColumn("image", F.col("label"))
     parts = e.select((F.col("vec_id") % 8).alias("centre"), F.posexplode("embedding").alias("dim", "v"))
     means = parts.groupBy("centre", "dim").agg(F.avg(F.col("v").cast("double")).alias("m"))
     centres = means.groupBy("centre").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda x: x["m"]).alias("c"))
-    return retrieval.residual_vectors(e, centres, "image", "embedding").select("image", "centre", "dim", F.round("value", 6).alias("value"))
+    return retrieval.residual_vectors(e, centres, "image", "embedding")
 
 
 @query()
