@@ -2,14 +2,90 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..runtime import broadcast_if_small, checkpointed, join_splitting_hot, release, written
 
-from ..runtime import join_splitting_hot, release, written
+#: (ends u, ends v) of edges to (sorted distinct nodes, the root of each).
+Kernel = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 from .observations import good_tracks
 
 
+def smallest_labels(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, the smallest node that the edges (u, v) link each to), by passing labels along edges and shortening the chains."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            return nodes, nodes[label]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label != label[label]).any():
+            label = label[label]
+
+
+def _gathered(batches: Iterator[pd.DataFrame], names: list[str]) -> list[np.ndarray] | None:
+    parts = [[b[c].to_numpy() for c in names] for b in batches if len(b)]
+    return [np.concatenate(x) for x in zip(*parts)] if parts else None
+
+
+def stars(edges: DataFrame, kernel: Kernel = smallest_labels) -> DataFrame:
+    """node, root for the edges (u, v: long numbers) of each partition by themselves; roots come with themselves. Nothing is shuffled."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = _gathered(batches, ["u", "v"])
+        if got:
+            nodes, roots = kernel(*got)
+            yield pd.DataFrame({"node": nodes, "root": roots})
+
+    return edges.mapInPandas(run, "node long, root long")
+
+
+def hooked(all_stars: DataFrame, kernel: Kernel = smallest_labels) -> DataFrame:
+    """node, root, outer: the stars of all partitions brought together by node and joined within each new partition.
+
+    A node has one row that names the root it has here. ``outer`` rows are the edges that are left: a node that is a
+    root of some star may be linked elsewhere, too. One shuffle, of two numbers a node and partition that holds it.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = _gathered(batches, ["node", "root"])
+        if got:
+            node, root = got
+            here, top = kernel(node, root)
+            told = np.unique(node)
+            yield pd.DataFrame({"node": told, "root": top[np.searchsorted(here, told)], "outer": False})
+            # every root that another node here points to, or that is told here to be one, stays in the graph
+            outer = np.unique(np.concatenate([root[node != root], node[node == root]]))
+            up = top[np.searchsorted(here, outer)]
+            yield pd.DataFrame({"node": outer[outer != up], "root": up[outer != up], "outer": True})
+
+    return all_stars.repartition("node").mapInPandas(run, "node long, root long, outer boolean")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
+    """node, label (the smallest node of its component) for edges (u, v).
+
+    Edges of long numbers are first contracted within partitions, and once more after a shuffle by node; alternating
+    star rounds over tables settle what is left.
+    """
+    e = edges.where("u is not null and v is not null").select("u", "v")
+    if not isinstance(edges.schema["u"].dataType, T.LongType):
+        return _star_rounds(e)
+    here = written(hooked(stars(e)))
+    rest = written(_star_rounds(here.where("outer").select(F.col("node").alias("u"), F.col("root").alias("v"))))
+    rest = broadcast_if_small(rest.select(F.col("node").alias("root"), F.col("label").alias("_top")), rest.count(), 64)
+    return here.where("not outer").join(rest, "root", "left").select("node", F.coalesce("_top", "root").alias("label"))
+
+
+def _star_rounds(edges: DataFrame) -> DataFrame:
     """node, label (the smallest node of its component) for edges (u, v), by alternating large and small stars.
 
     Each round links the neighbours of every node to its smallest one, first the larger neighbours, then the
@@ -71,7 +147,7 @@ def shot_neighbourhood(pairs: DataFrame, centre: str, radius: int, min_common: i
     Interior shots are taken in order of shared tracks until there are ``max_interior``.
     """
     spark = pairs.sparkSession
-    strong = pairs.where(F.col("n_common") >= min_common)
+    strong = checkpointed(pairs.where(F.col("n_common") >= min_common))
     both = strong.select("im1", "im2", "n_common").unionByName(strong.select(F.col("im2").alias("im1"), F.col("im1").alias("im2"), "n_common"))
     inside = spark.createDataFrame([(centre, 0)], "shot_id string, ring int")
     for k in range(1, radius + 1):

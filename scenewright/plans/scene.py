@@ -9,7 +9,7 @@ from ..functions import exif as fx
 from ..functions import geo
 from ..operators import graph, observations, retrieval, statistics, timeline
 from ..operators import proximity
-from ..runtime import ranked, table
+from ..runtime import checkpointed, ranked, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -162,9 +162,17 @@ def merge_tracks(spark, d):
     return graph.merge_tracks({"a": observations.in_good_tracks(_obs(spark, d)), "b": graph.tracks_from_matches(table(spark, d, "matches"))})
 
 
-@query()
+@query(f"""with p as {_PAIRS}, b as (select im1, im2, n_common n from p where n_common >= 2 union all select im2, im1, n_common from p where n_common >= 2),
+  c as (select im1 shot_id from p group by 1 order by count(*) desc, 1 limit 1),
+  r1 as (select im2 shot_id, sum(n) n from b where im1 in (from c) and im2 not in (from c) group by 1 order by 2 desc, 1 limit 39),
+  i1 as (select shot_id, 0 ring from c union all select shot_id, 1 from r1),
+  n2 as (select im2 shot_id, sum(n) n from b where im1 in (select shot_id from i1) and im2 not in (select shot_id from i1) group by 1),
+  r2 as (select shot_id, n from n2 order by n desc, shot_id limit (select 40 - count(*) from i1)),
+  i2 as (from i1 union all select shot_id, 2 from r2),
+  r3 as (select distinct im2 shot_id from b where (select count(*) < 40 from i1) and im1 in (select shot_id from i2) and im2 not in (select shot_id from i2))
+  select shot_id, ring::int ring from (from i2 union all select shot_id, 3 from r3 union all select shot_id, 3 from n2 where (select count(*) = 40 from i1))""")
 def shot_neighborhood(spark, d):
-    pairs = observations.covisibility(_obs(spark, d))
+    pairs = checkpointed(observations.covisibility(_obs(spark, d)))
     centre = pairs.groupBy("im1").count().orderBy(F.desc("count"), "im1").first()
     return graph.shot_neighbourhood(pairs, centre["im1"] if centre else "", 3, 2, 40)
 
