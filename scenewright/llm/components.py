@@ -6,13 +6,11 @@ tables for what no partition could finish.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import graph
 from ..runtime import broadcast_if_small, checkpointed, clean_key, release, written
 
 #: Edges that one task may finish; rows that make a group hot; keys that may share a hash and be told apart by name.
@@ -54,46 +52,6 @@ def boruvka(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a, b = parent[a], parent[b]
 
 
-def _gathered(batches: Iterator[pd.DataFrame], names: list[str]) -> list[np.ndarray] | None:
-    parts = [[b[c].to_numpy() for c in names] for b in batches if len(b)]
-    return [np.concatenate(x) for x in zip(*parts)] if parts else None
-
-
-def _stars(edges: DataFrame) -> DataFrame:
-    """node, root for the edges of each partition by themselves; roots come with themselves."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = _gathered(batches, ["u", "v"])
-        if got:
-            nodes, roots = boruvka(*got)
-            yield pd.DataFrame({"node": nodes, "root": roots})
-
-    return edges.mapInPandas(run, "node long, root long")
-
-
-def _hooked(stars: DataFrame) -> DataFrame:
-    """node, root, outer: the stars of all partitions brought together by node and joined within each new partition.
-
-    A node has one row that names the root it has here. ``outer`` rows are the edges that are left: a node that is a
-    root of some star may be linked elsewhere, too.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = _gathered(batches, ["node", "root"])
-        if got:
-            node, root = got
-            here, top = boruvka(node, root)
-            told = np.unique(node)
-            at = np.searchsorted(here, told)
-            yield pd.DataFrame({"node": told, "root": top[at], "outer": False})
-            # every root that another node here points to, or that is told here to be one, stays in the graph
-            outer = np.unique(np.concatenate([root[node != root], node[node == root]]))
-            up = top[np.searchsorted(here, outer)]
-            yield pd.DataFrame({"node": outer[outer != up], "root": up[outer != up], "outer": True})
-
-    return stars.repartition("node").mapInPandas(run, "node long, root long, outer boolean")
-
-
 def _pick_smallest(edges: DataFrame) -> DataFrame:
     """node, parent: the other end of the smallest edge at each node, edges ordered by (smaller end, larger end).
 
@@ -126,7 +84,7 @@ def _by_rounds(live: DataFrame, task_edges: int) -> DataFrame:
     label = None
     while n := live.count():
         if n <= task_edges:
-            tree = written(_stars(live.coalesce(1)).withColumnRenamed("root", "parent"))
+            tree = written(graph.stars(live.coalesce(1), boruvka).withColumnRenamed("root", "parent"))
             release(live)
             live = live.limit(0)
         else:
@@ -157,7 +115,7 @@ def components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     edges are finished by one task. Rows with a null end are left out; a row with equal ends makes a lone node.
     No edges give no rows. The driver only ever learns how many edges are left.
     """
-    hooked = written(_hooked(_stars(edges.select("u", "v").where("u is not null and v is not null"))))
+    hooked = written(graph.hooked(graph.stars(edges.select("u", "v").where("u is not null and v is not null"), boruvka), boruvka))
     left = hooked.where("outer")
     live = written(left.select(F.least("node", "root").alias("u"), F.greatest("node", "root").alias("v")).distinct())
     top = _by_rounds(live, task_edges)

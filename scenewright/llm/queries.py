@@ -101,7 +101,20 @@ eg as (select item_id, unnest(list_transform(range(1, len(w) - 10), lambda i: ar
 select distinct doc_id, item_id from dg join eg using (g)
 """
 
+# runs of shared grams along one diagonal of document and item
+_P8_ITEMS = f"""
+with d as (select doc_id, {_WORDS.format("text")} w from documents where text is not null),
+e as (select item_id, {_WORDS.format("text")} w from eval_items where text is not null),
+dg as (select doc_id, unnest(range(1, len(w) - 10)) i, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) g from d where len(w) >= 12),
+eg as (select item_id, unnest(range(1, len(w) - 10)) j, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) g from e where len(w) >= 12),
+m as (select distinct doc_id, item_id, i, i - j k from dg join eg using (g)),
+r as (select *, i - row_number() over (partition by doc_id, item_id, k order by i) run from m),
+l as (select doc_id, item_id, count(*) + 11 n from r group by doc_id, item_id, k, run)
+select item_id, count(distinct doc_id) n_docs, max(n)::int longest from l group by 1
+"""
+
 ORACLE = {
+    "p8_items": _P8_ITEMS,
     "p3_found": _P3,
     "p3_sizes": f"select kind, n_records, count(*) n_groups from (select kind, group_key, count(*) n_records from ({_P3}) group by 1, 2) group by 1, 2",
     "p8_found": _P8,
