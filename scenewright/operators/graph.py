@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import broadcast_if_small, checkpointed, join_splitting_hot, release, written
+from ..runtime import broadcast_if_small, checkpointed, join_splitting_hot, release, sorted_unique, written
 
 #: (ends u, ends v) of edges to (sorted distinct nodes, the root of each).
 Kernel = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -60,10 +60,10 @@ def hooked(all_stars: DataFrame, kernel: Kernel = smallest_labels) -> DataFrame:
         if got:
             node, root = got
             here, top = kernel(node, root)
-            told = np.unique(node)
+            told = sorted_unique(node)
             yield pd.DataFrame({"node": told, "root": top[np.searchsorted(here, told)], "outer": False})
             # every root that another node here points to, or that is told here to be one, stays in the graph
-            outer = np.unique(np.concatenate([root[node != root], node[node == root]]))
+            outer = sorted_unique(np.concatenate([root[node != root], node[node == root]]))
             up = top[np.searchsorted(here, outer)]
             yield pd.DataFrame({"node": outer[outer != up], "root": up[outer != up], "outer": True})
 

@@ -260,3 +260,9 @@ def ranked(df: DataFrame, keys: list[str], name: str = "rank") -> DataFrame:
     offsets = df.sparkSession.createDataFrame([(p, n) for p, n in before.items()] or [(-1, 0)], "_pid int, _before long")
     inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     return placed.join(F.broadcast(offsets), "_pid").withColumn(name, F.col("_before") + inside).drop("_pid", "_at", "_before")
+
+
+def sorted_unique(x: np.ndarray) -> np.ndarray:
+    """The distinct values in order. ``np.unique`` builds a hash table for this, which takes many times longer on long arrays of numbers."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
