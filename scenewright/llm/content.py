@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import sorted_unique
 from .canonical import LOOKALIKES
 
 # Digits and signs that stand for letters inside words.
@@ -33,6 +34,8 @@ _COMBINING = re.compile("[\u0300-\u036f]")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'»”’“)]*\s+|\n+")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_·]{1,3}){2,}[^\W_](?![^\W_])")
 _WITHIN = re.compile(r"\w*[^\W\d_](?:[\w@$*]|[!|](?=\w))*")
+#: A digit or sign that stands beside others of a word: without one there is nothing to replace.
+_REPLACED = re.compile(r"(?<=[\w@$*])(?:[013457@$]|[!|](?=\w))|[013457](?=[\w@$*])")
 _LONG = re.compile(r"(\w)\1{2,}")
 
 
@@ -49,7 +52,8 @@ def plain(text: str) -> str:
         t = _COMBINING.sub("", unicodedata.normalize("NFD", t))
     t = _SPACED.sub(_joined, t)
     t = re.sub(r"\b\d+\b", "0", t)
-    t = _WITHIN.sub(lambda m: m.group().translate(LEET), t)
+    if _REPLACED.search(t):
+        t = _WITHIN.sub(lambda m: m.group().translate(LEET), t)
     t = _LONG.sub(r"\1", t)
     return " " + " ".join(re.sub(r"[^\w*]+", " ", t).split()) + " "
 
@@ -82,7 +86,7 @@ def _features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
                 mixed = (h[ok] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
                 ids.append((mixed >> np.uint64(40)).astype(np.int64) % DIMENSIONS)
                 own.append(owner[: len(h)][ok])
-    key = np.unique(np.concatenate(own) * DIMENSIONS + np.concatenate(ids))
+    key = sorted_unique(np.concatenate(own) * DIMENSIONS + np.concatenate(ids))
     return (key % DIMENSIONS).astype(np.int32), np.bincount(key // DIMENSIONS, minlength=len(texts))
 
 
