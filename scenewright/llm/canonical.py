@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import written
+
 # Letters that look like Latin ones, words of company names, and texts that say nothing.
 LOOKALIKES = str.maketrans(
     "аеорсухкмнтвіјѕԁһԛԝьАЕОРСУХКМНТВІЈЅαοερικνυΑΟΕΡΙΚΝΥΤΗΜΒΧ",
@@ -23,6 +25,8 @@ NOTHING = {"", "unknown", "n/a", "na", "none", "null", "-"}
 THRESHOLD = 4
 #: Entries of the canonical list in one broadcast shard.
 SHARD_ENTRIES = 20_000
+#: Stored pairs that one task looks up.
+TASK_PAIRS = 2_000
 
 _VERSION = re.compile(r"\b(?:fw|firmware|ver|version)\.?\s*\d+(?:\.\d+)*\b|\bv\s?\d+(?:\.\d+)+\b")
 _MARKS = re.compile(r"\((?:tm|r|c)\)|[®©™]")
@@ -206,7 +210,8 @@ def mapped_entries(records: DataFrame, entries: DataFrame, shard_entries: int =
     said = lambda c: ~F.coalesce(F.lower(F.trim(c)), F.lit("")).isin("", "unknown")
     rows = records.where("shot_id is not null").select("shot_id", "make", "model").distinct().where(said("make") | said("model"))
     listed = entries.select("make", "model").distinct().withColumn("_listed", F.lit(True))
-    pairs = rows.select("make", "model").distinct().join(listed, ["make", "model"], "left").where("_listed is null").select("make", "model")
+    pairs = written(rows.select("make", "model").distinct().join(listed, ["make", "model"], "left").where("_listed is null").select("make", "model"))
+    pairs = pairs.repartition(pairs.count() // TASK_PAIRS + 1)  # few bytes, much work: sizes alone would put them into one task
     total = entries.count()
     shards = max(1, -(-total // shard_entries))
     found = None
