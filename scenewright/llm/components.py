@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import graph
-from ..runtime import broadcast_if_small, checkpointed, clean_key, release, written
+from ..runtime import broadcast_if_small, checkpointed, clean_key, release, sorted_unique, written
 
 #: Edges that one task may finish; rows that make a group hot; keys that may share a hash and be told apart by name.
 TASK_EDGES, HOT_ROWS, MOST_CLASHES = 1_000_000, 200_000, 10_000
@@ -32,7 +32,7 @@ def boruvka(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         apart = a != b
         if not apart.any():
             return nodes, nodes[root]
-        edge = np.unique(np.minimum(a, b)[apart].astype(np.int64) * n + np.maximum(a, b)[apart])
+        edge = sorted_unique(np.minimum(a, b)[apart].astype(np.int64) * n + np.maximum(a, b)[apart])
         a, b = edge // n, edge % n
         parent = np.full(n, n)
         np.minimum.at(parent, a, b)
