@@ -6,10 +6,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import broadcast_if_small, clean_key
+from ..runtime import broadcast_if_small, clean_key, written
 
 #: Bits of filter for each parent key, and the largest filter that is broadcast, in bytes.
 BITS_PER_KEY = 16
@@ -78,8 +78,9 @@ def orphan_references(refs: DataFrame, parents: DataFrame, max_filter_bytes: int
     is hot. Empty tables give an empty result; further columns are ignored.
     """
     refs = refs.select("record_key", "ref_key", "at").where("ref_key is not null and record_key is not null").distinct()
+    parents = written(parents)
     bits, n = bloom_filter(parents, "ref_key", max_filter_bytes)
-    refs = with_maybe(refs, "ref_key", bits)
+    refs = written(with_maybe(refs, "ref_key", bits))
     month = F.date_format("at", "yyyy-MM").alias("ref_month")
     proven = refs.where("not _maybe").select("record_key", "ref_key", F.lit("missing").alias("ref_state"), month)
     joined = refs.where("_maybe").join(broadcast_if_small(parents, n, 256), "ref_key", "left")
@@ -95,22 +96,19 @@ def image_camera_references(images: DataFrame) -> DataFrame:
     return (
         images.where("shot_id is not null")
         .groupBy(F.col("shot_id").alias("record_key"))
-        .agg(F.min("ingested_at").alias("at"), F.collect_set(clean_key("camera_id")).alias("keys"))
+        .agg(F.min("ingested_at").alias("at"), F.array_distinct(F.transform(F.collect_set("camera_id"), clean_key)).alias("keys"))
         .select("record_key", F.explode("keys").alias("ref_key"), "at")
+        .where("ref_key is not null")
     )
 
 
 def gcp_shot_references(gcps: DataFrame) -> DataFrame:
     """(record_key, ref_key, at) of ``ground_control_points.observations.shot_id``."""
-    return (
-        gcps.where("id is not null")
-        .groupBy(F.col("id").alias("record_key"))
-        .agg(F.min("ingested_at").alias("at"), F.collect_set("observations").alias("obs"))
-        .select("record_key", "at", F.explode(F.flatten("obs")).alias("o"))
-        .select("record_key", clean_key(F.col("o.shot_id")).alias("ref_key"), "at")
-        .where("ref_key is not null")
-        .distinct()
-    )
+    rows = gcps.where("id is not null").repartition("id").select(F.col("id").alias("record_key"), "ingested_at", F.explode_outer("observations.shot_id").alias("s"))
+    each = rows.groupBy("record_key", clean_key("s").alias("ref_key")).agg(F.min("ingested_at").alias("at"))
+    # a point's time is that of its earliest row, also where that row names no shot
+    first = F.min("at").over(Window.partitionBy("record_key"))
+    return each.withColumn("at", first).where("ref_key is not null")
 
 
 def image_lifetimes(images: DataFrame) -> DataFrame:
