@@ -287,3 +287,11 @@ def test_many_patterns_are_routed():
     capacity = {p: int(r.randint(1, 10**6)) for p in patterns}
     flow = mixing.routed(capacity, {x: sum(capacity.values()) // 25 for x in sources}, dict.fromkeys(sources, 2))
     assert sum(sum(f.values()) for f in flow.values()) == sum(capacity.values()) // 25 * 20
+
+
+@pytest.mark.parametrize("name", ["p3_sizes", "p6_unmatched", "p8_items", "p8_clean", "p9_selection", "p10_scores", "p10_rates"])
+def test_every_query_runs(spark, data, name):
+    from scenewright.llm import queries
+
+    df = queries.QUERIES[name](spark, data)
+    assert df.count() >= 0 and len(set(df.columns)) == len(df.columns)
