@@ -18,15 +18,15 @@ STRIP_ROWS = 50_000
 _PAIRS = 1_000_000
 
 
-def _splits(points: DataFrame, strip, rows: int) -> DataFrame:
-    """strip, parts: only strips with more than ``rows`` points; at most count / rows of them."""
-    return points.groupBy(strip.alias("strip")).count().where(F.col("count") > rows).select("strip", F.ceil(F.col("count") / rows).cast("int").alias("parts"))
+def _splits(points: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """keys, parts: only places with more than ``rows`` points; at most count / rows of them."""
+    return checkpointed(points.groupBy(*keys).count().where(F.col("count") > rows).select(*keys, F.ceil(F.col("count") / rows).cast("int").alias("parts")))
 
 
-def _with_parts(points: DataFrame, splits: DataFrame, name: str) -> DataFrame:
+def _with_parts(points: DataFrame, splits: DataFrame, keys: list[str], name: str) -> DataFrame:
     n = splits.count()
     side = F.broadcast(splits) if n * 64 <= BROADCAST_BYTES else splits
-    return points.join(side.withColumnRenamed("parts", name), "strip", "left").fillna(1, [name])
+    return points.join(side.withColumnRenamed("parts", name), keys, "left").fillna(1, [name])
 
 
 def near_pairs(left: DataFrame, right: DataFrame, radius: float, strip_rows: int = STRIP_ROWS) -> DataFrame:
@@ -38,8 +38,9 @@ def near_pairs(left: DataFrame, right: DataFrame, radius: float, strip_rows: int
 
     ``right`` points belong to one strip of latitude; ``left`` points go to every strip that their
     radius touches, so a pair meets in the strip of its right point and nowhere else. A strip with more
-    than ``strip_rows`` rows of a side is cut by a hash of that side's id, against copies of the other
-    side's pieces: no task holds more than ``strip_rows`` of either, wherever the points crowd.
+    than ``strip_rows`` rows of a side is cut at meridians four radii apart, again with left points on either side of
+    a cut they are near to. Only a block of that size which is still as crowded is cut by a hash of that side's id, against
+    copies of the other side's pieces: no task holds more than ``strip_rows`` of either, wherever the points crowd.
     """
     metres = 110_500.0  # a degree of latitude is never shorter
     height = 4.0 * radius / metres
@@ -53,16 +54,35 @@ def near_pairs(left: DataFrame, right: DataFrame, radius: float, strip_rows: int
     right = checkpointed(valid(right).withColumn("strip", F.floor(F.col("lat") / height)))
     left = valid(left).withColumn("strip", F.explode(F.sequence(F.floor((F.col("lat") - reach) / height), F.floor((F.col("lat") + reach) / height))))
     left = checkpointed(left)
-    hot_right, hot_left = _splits(right, F.col("strip"), strip_rows), _splits(left, F.col("strip"), strip_rows)
+    crowded = _splits(left, ["strip"], strip_rows).unionByName(_splits(right, ["strip"], strip_rows)).groupBy("strip").agg(F.max("parts").alias("parts"))
+    top = F.least(F.greatest(F.abs(F.col("strip")), F.abs(F.col("strip") + 1)) * height + reach, F.lit(90.0))
+    wide = F.when(top < 89.9, F.degrees(F.lit(1.01 * radius / 6.33e6) / F.cos(F.radians(top)))).otherwise(360.0)
+
+    def blocks(d: DataFrame, copies: bool) -> DataFrame:
+        """Adds block, 0 in strips that are not crowded."""
+        d = _with_parts(d, crowded, ["strip"], "_n").withColumn("_wide", wide)
+        d = d.withColumn("_n", F.when(F.col("_n") > 1, F.greatest(F.floor(90.0 / F.col("_wide")), F.lit(1))).otherwise(1))
+        at = lambda lon: F.floor((lon + 180.0) * F.col("_n") / 360.0)
+        if copies:
+            near = F.sequence(at(F.col("lon") - F.col("_wide")), at(F.col("lon") + F.col("_wide")))
+            near = F.array_distinct(F.transform(near, lambda b: F.pmod(b, F.col("_n"))))
+            d = d.withColumn("block", F.explode(F.when(F.col("_n") > 1, near).otherwise(F.array(F.lit(0).cast("long")))))
+        else:
+            d = d.withColumn("block", F.pmod(at(F.col("lon")), F.col("_n")))
+        return d.drop("_n", "_wide")
+
+    left, right = checkpointed(blocks(left, True)), checkpointed(blocks(right, False))
+    place = ["strip", "block"]
+    hot_right, hot_left = _splits(right, place, strip_rows), _splits(left, place, strip_rows)
 
     def pieces(d: DataFrame, own: str, other: str, side: int) -> DataFrame:
-        d = _with_parts(_with_parts(d, hot_left, "lp"), hot_right, "rp")
+        d = _with_parts(_with_parts(d, hot_left, place, "lp"), hot_right, place, "rp")
         d = d.withColumn(own, F.pmod(F.xxhash64("id"), F.col(own + "p")).cast("int"))
         d = d.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other + "p") - 1)))
-        return d.select("strip", "l", "r", F.lit(side).cast("byte").alias("side"), "lon", "lat", "id")
+        return d.select(*place, "l", "r", F.lit(side).cast("byte").alias("side"), "lon", "lat", "id")
 
     both = pieces(left, "l", "r", 0).unionByName(pieces(right, "r", "l", 1))
-    both = both.repartitionByRange("strip", "l", "r").sortWithinPartitions("strip", "l", "r", "lon")
+    both = both.repartitionByRange(*place, "l", "r").sortWithinPartitions(*place, "l", "r", "lon")
 
     def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
@@ -70,8 +90,8 @@ def near_pairs(left: DataFrame, right: DataFrame, radius: float, strip_rows: int
             if not len(b):
                 continue
             rows = b if held is None else pd.concat([held, b], ignore_index=True)
-            s, p, q = (rows[c].to_numpy() for c in ("strip", "l", "r"))
-            cuts = np.flatnonzero((s[1:] != s[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1
+            where = rows[["strip", "block", "l", "r"]].to_numpy()
+            cuts = np.flatnonzero((where[1:] != where[:-1]).any(axis=1)) + 1
             bounds = [0, *cuts.tolist()]
             for i, j in zip(bounds, bounds[1:]):
                 yield from _sweep_strip(rows.iloc[i:j], radius)
