@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import camera, kernels
-from ..operators import graph, observations, proximity, statistics, timeline
+from ..operators import graph, observations, statistics, timeline
 from ..operators import reconstruction as rec
 from ..operators import retrieval
 from ..runtime import ranked, table

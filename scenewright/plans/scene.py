@@ -467,6 +467,7 @@ def vlad_vectors(spark, d):
 
 
 def vlad_parts(spark, d):
+    """image, centre, dim, value of the residual vectors, unrounded."""
     e = table(spark, d, "embeddings").withColumn("image", F.col("label"))
     parts = e.select((F.col("vec_id") % 8).alias("centre"), F.posexplode("embedding").alias("dim", "v"))
     means = parts.groupBy("centre", "dim").agg(F.avg(F.col("v").cast("double")).alias("m"))

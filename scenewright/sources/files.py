@@ -168,3 +168,42 @@ def read_rig_assignments(spark: SparkSession, path: str) -> DataFrame:
     listed = F.transform(F.from_json("value", "array<array<array<string>>>"), lambda x, i: F.struct(i.cast("string").alias("key"), x.alias("value")))
     e = text.select(F.explode(F.when(F.trim("value").startswith("["), listed).otherwise(named)).alias("e"))
     return e.select(F.col("e.key").alias("instance"), F.explode("e.value").alias("m")).select("instance", F.col("m")[0].alias("shot_id"), F.col("m")[1].alias("rig_camera"))
+
+
+def read_image_list(spark: SparkSession, path: str) -> DataFrame:
+    """path, image of a list of image files, one a line; blank lines are skipped, and a list without any image fails."""
+    lines = spark.read.text(path).select(F.trim("value").alias("path")).where("path <> ''")
+    if not lines.limit(1).count():
+        raise OSError(f"no images in {path}")
+    return lines.select("path", F.regexp_extract("path", "[^/]+$", 0).alias("image"))
+
+
+def with_masks(images: DataFrame, masks: DataFrame) -> DataFrame:
+    """``images`` with the path of the mask of each, null where there is none: ``masks`` (path) are named after the image and .png, or listed with their image (image, path)."""
+    own = masks if "image" in masks.columns else masks.select(F.regexp_extract("path", r"([^/]+)\.png$", 1).alias("image"), "path")
+    own = own.where("image <> ''").groupBy("image").agg(F.min("path").alias("mask"))
+    return images.join(own, "image", "left")
+
+
+def read_mask_list(spark: SparkSession, path: str) -> DataFrame:
+    """image, path of a two-column list of masks."""
+    p = F.split(F.trim("value"), r"\s+")
+    return spark.read.text(path).where("trim(value) <> ''").select(p[0].alias("image"), F.get(p, F.lit(1)).alias("path")).where("path is not null")
+
+
+def read_image_groups(spark: SparkSession, path: str) -> DataFrame:
+    """image, group of a whitespace-separated list; lines with another number of fields fail the read."""
+    p = F.split(F.trim("value"), r"\s+")
+    checked = F.when(F.size(p) == 2, p).otherwise(F.raise_error(F.concat(F.lit("wrong number of fields: "), "value")))
+    return spark.read.text(path).where("trim(value) <> ''").select(checked.alias("p")).select(F.col("p")[0].alias("image"), F.col("p")[1].alias("group"))
+
+
+def read_image_positions(spark: SparkSession, path: str) -> DataFrame:
+    """image, latitude, longitude of a tab-separated list."""
+    return spark.read.csv(path, sep="\t", schema="image string, latitude double, longitude double")
+
+
+def write_positions_and_compass(shots: DataFrame, path: str) -> None:
+    """image, latitude, longitude, altitude, compass as tab-separated lines in order of image; parts follow one another."""
+    cols = ["image", "latitude", "longitude", "altitude", "compass"]
+    shots.select(*cols).orderBy("image").write.mode("overwrite").csv(path, sep="\t")

@@ -9,6 +9,7 @@ from scenewright.functions import camera, kernels
 from scenewright.operators import graph
 from scenewright.operators import reconstruction as rec
 from scenewright.plans import catalogue
+from scenewright.sources import files
 
 
 @pytest.mark.parametrize("name", list(catalogue.QUERIES))
@@ -103,3 +104,26 @@ def test_scores_of_robust_models():
     s = kernels.scores(e, 0.1)
     assert s["ransac"] == 3 and s["msac"] == pytest.approx(1 / (0.0005 + 0.01 + 1e-8)) and s["lmeds"] == pytest.approx(1 / (0.015 + 1e-8))
     assert kernels.scores(np.array([np.inf]), 0.1)["msac"] == 0.0
+
+
+def test_lists_of_images_masks_groups_and_positions(spark, tmp_path):
+    (tmp_path / "images.txt").write_text("a/x.jpg\n\n b/y.JPG \n")
+    images = files.read_image_list(spark, str(tmp_path / "images.txt"))
+    assert {tuple(r) for r in images.collect()} == {("a/x.jpg", "x.jpg"), ("b/y.JPG", "y.JPG")}
+    (tmp_path / "none.txt").write_text("\n")
+    with pytest.raises(OSError):
+        files.read_image_list(spark, str(tmp_path / "none.txt"))
+    masks = spark.createDataFrame([("m/x.jpg.png",), ("m/other.png",)], "path string")
+    assert {(r.image, r["mask"]) for r in files.with_masks(images, masks).collect()} == {("x.jpg", "m/x.jpg.png"), ("y.JPG", None)}
+    (tmp_path / "masks.txt").write_text("y.JPG m/any.png\nlone\n")
+    listed = files.with_masks(images, files.read_mask_list(spark, str(tmp_path / "masks.txt")))
+    assert {(r.image, r["mask"]) for r in listed.collect()} == {("x.jpg", None), ("y.JPG", "m/any.png")}
+    (tmp_path / "groups.txt").write_text("x.jpg  g1\ny.JPG\tg2\n")
+    assert {tuple(r) for r in files.read_image_groups(spark, str(tmp_path / "groups.txt")).collect()} == {("x.jpg", "g1"), ("y.JPG", "g2")}
+    shots = spark.createDataFrame([("y", 1.5, 2.5, 3.0, 90.0), ("x", 0.5, None, 1.0, 0.0)], "image string, latitude double, longitude double, altitude double, compass double")
+    files.write_positions_and_compass(shots, str(tmp_path / "compass"))
+    text = "".join(f.read_text() for f in sorted((tmp_path / "compass").glob("part*")))
+    assert text.splitlines() == ["x\t0.5\t\t1.0\t0.0", "y\t1.5\t2.5\t3.0\t90.0"]
+    files.write_positions_and_compass(shots.limit(0), str(tmp_path / "empty"))
+    (tmp_path / "gps.tsv").write_text("x.jpg\t47.5\t-6.25\n")
+    assert [tuple(r) for r in files.read_image_positions(spark, str(tmp_path / "gps.tsv")).collect()] == [("x.jpg", 47.5, -6.25)]
