@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 from ..runtime import broadcast_if_small, checkpointed, join_splitting_hot, release, sorted_unique, written
 
+#: Edges that one task may finish.
+TASK_EDGES = 1_000_000
 #: (ends u, ends v) of edges to (sorted distinct nodes, the root of each).
 Kernel = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 from .observations import good_tracks
@@ -70,17 +72,19 @@ def hooked(all_stars: DataFrame, kernel: Kernel = smallest_labels) -> DataFrame:
     return all_stars.repartition("node").mapInPandas(run, "node long, root long, outer boolean")
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """node, label (the smallest node of its component) for edges (u, v).
 
-    Edges of long numbers are first contracted within partitions, and once more after a shuffle by node; alternating
-    star rounds over tables settle what is left.
+    Edges of long numbers are first contracted within partitions, and once more after a shuffle by node. Of what is
+    left, one task settles at most ``task_edges`` edges, alternating star rounds over tables any number.
     """
     e = edges.where("u is not null and v is not null").select("u", "v")
     if not isinstance(edges.schema["u"].dataType, T.LongType):
         return _star_rounds(e)
     here = written(hooked(stars(e)))
-    rest = written(_star_rounds(here.where("outer").select(F.col("node").alias("u"), F.col("root").alias("v"))))
+    left = written(here.where("outer").select(F.col("node").alias("u"), F.col("root").alias("v")))
+    small = left.count() <= task_edges
+    rest = written(stars(left.coalesce(1)).withColumnRenamed("root", "label") if small else _star_rounds(left))
     rest = broadcast_if_small(rest.select(F.col("node").alias("root"), F.col("label").alias("_top")), rest.count(), 64)
     return here.where("not outer").join(rest, "root", "left").select("node", F.coalesce("_top", "root").alias("label"))
 

@@ -93,7 +93,8 @@ def test_ranks_over_partitions_and_components_of_numbers(spark):
     edges = [(i, i + 1) for i in range(100)] + [(200, 201), (300, 300), (5, 3), (5, 3)]
     e = spark.createDataFrame(edges, "u long, v long").repartition(6)
     want = {i: 0 for i in range(101)} | {200: 200, 201: 200, 300: 300}
-    assert {x.node: x.label for x in graph.connected_components(e).collect()} == want
+    for most in (0, 1_000_000):
+        assert {x.node: x.label for x in graph.connected_components(e, most).collect()} == want
     named = e.select(F.concat(F.lit("n"), "u").alias("u"), F.concat(F.lit("n"), "v").alias("v"))
     assert {(x.node, x.label) for x in graph.connected_components(named).collect()} == {(f"n{k}", f"n{v}") for k, v in want.items()}
     assert graph.connected_components(e.limit(0)).count() == 0
