@@ -1,5 +1,6 @@
 """Problems 1, 2, 4, 5 and 7: brute force, ties, nulls, repeats, empty tables, sources across cuts."""
 
+import tracemalloc
 from datetime import datetime, timezone
 from zoneinfo import ZoneInfo
 
@@ -144,6 +145,26 @@ def test_bloom_filter_has_no_false_negatives_even_when_far_too_small(spark):
     assert orphans.with_maybe(other, "ref_key", wide).where("_maybe").count() < 250
 
 
+def test_bloom_filter_reaches_the_driver_in_columns(spark):
+    keys = spark.range(300_000).select(F.concat(F.lit("k"), "id").alias("ref_key"))
+    orphans.bloom_filter(keys.limit(10), "ref_key")  # imports are made before memory is traced
+    tracemalloc.start()
+    try:
+        bits, n = orphans.bloom_filter(keys, "ref_key", max_bytes=800_000)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == 300_000 and len(bits) == 100_000
+    assert peak < 8 * bits.nbytes  # with a Python row for each word it was 54 MB
+    word, mask = orphans._word_and_mask(F.col("ref_key"), len(bits))
+    want = np.zeros(len(bits), dtype=np.int64)
+    for r in keys.select(word.alias("w"), mask.alias("m")).toLocalIterator():
+        want[r.w] |= r.m
+    assert (bits == want).all()
+    none, n = orphans.bloom_filter(keys.limit(0), "ref_key")
+    assert n == 0 and not none.any()
+
+
 TIMES = "shot_id string, sequence_key string, capture_time string, time_zone string"
 
 
