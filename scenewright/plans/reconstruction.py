@@ -142,8 +142,8 @@ def features_reconstructed(spark, d):
   select k, round(mean2, 3) mean2 from m where mean2 > (select avg(mean2) + 1.25 * stddev_pop(mean2) from m)""")
 def isolated_points(spark, d):
     """Points far from their three nearest, all reconstructions laid over one another."""
-    q = _points(spark, d).select(F.concat_ws("/", "reconstruction_id", "track_id").alias("k"), F.array("px", "py", "pz").alias("v"))
-    near = retrieval.nearest_vectors(q, q, "k", "v", 3).select(F.col("query").alias("k"), F.pow("distance", 2).alias("d2"))
+    q = _points(spark, d).select(F.concat("reconstruction_id", F.lit("/"), "track_id").alias("k"), "px", "py", "pz")
+    near = retrieval.nearest_distances(q, "k", ["px", "py", "pz"], 3).select("k", F.explode("distances").alias("distance")).select("k", F.pow("distance", 2).alias("d2"))
     return rec.isolated(near, "k").select("k", F.round("mean2", 3).alias("mean2"))
 
 

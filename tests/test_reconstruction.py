@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scenewright import runtime
 from scenewright.functions import camera, kernels
-from scenewright.operators import graph
+from scenewright.operators import graph, retrieval
 from scenewright.operators import reconstruction as rec
 from scenewright.plans import catalogue
 from scenewright.sources import files
@@ -128,3 +128,21 @@ def test_lists_of_images_masks_groups_and_positions(spark, tmp_path):
     files.write_positions_and_compass(shots.limit(0), str(tmp_path / "empty"))
     (tmp_path / "gps.tsv").write_text("x.jpg\t47.5\t-6.25\n")
     assert [tuple(r) for r in files.read_image_positions(spark, str(tmp_path / "gps.tsv")).collect()] == [("x.jpg", 47.5, -6.25)]
+
+
+def test_distances_to_the_nearest_points_across_leaves(spark):
+    r = np.random.RandomState(3)
+    v = np.concatenate([r.normal(0, 1, (700, 3)), r.normal(40, 5, (200, 3)), np.repeat([[0.5, 0.5, 0.5]], 150, 0), r.uniform(-3000, 3000, (20, 3))])
+    rows = [(f"k{i:04d}", *map(float, x)) for i, x in enumerate(v)]
+    odd = [("none", None, 0.0, 0.0), ("nan", float("nan"), 0.0, 0.0), ("inf", 0.0, float("inf"), 0.0), (None, 0.0, 0.0, 0.0), rows[5]]
+    df = spark.createDataFrame(rows + odd, "k string, x double, y double, z double").repartition(3)
+    d = np.sqrt(((v[:, None] - v) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    want = np.sort(d, 1)[:, :3]
+    for leaf in (60, 100_000):
+        got = {x.k: x.distances for x in retrieval.nearest_distances(df, "k", ["x", "y", "z"], 3, leaf).collect()}
+        assert len(got) == len(rows)
+        assert np.allclose([got[k[0]] for k in rows], want, rtol=1e-12, atol=0)
+    few = {x.k: x.distances for x in retrieval.nearest_distances(df.where("k in ('k0001', 'k0002')"), "k", ["x", "y", "z"], 3).collect()}
+    assert [len(few[k]) for k in ("k0001", "k0002")] == [1, 1]
+    assert retrieval.nearest_distances(df.limit(0), "k", ["x", "y", "z"], 3).count() == 0
