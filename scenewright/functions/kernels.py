@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -79,6 +81,58 @@ def fit_similarity(source: np.ndarray, target: np.ndarray, threshold: float, rou
     return ransac(len(source), 3, lambda i: similarity(source[i], target[i]), errors, threshold, rounds)
 
 
+@lru_cache(maxsize=1024)
+def _picks(n: int, sample: int, rounds: int, seed: int) -> np.ndarray:
+    """The samples that :func:`ransac` draws."""
+    rng = np.random.default_rng(seed)
+    return np.stack([rng.choice(n, sample, replace=False) for _ in range(rounds)])
+
+
+def _plane_similarities(x: np.ndarray, y: np.ndarray, mask: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Factor (scale and rotation) and shift of :func:`similarity` along the last axis, for places as complex numbers."""
+    if mask is None:
+        n = x.shape[-1]
+    else:
+        n = np.maximum(mask.sum(-1), 1)
+        x, y = np.where(mask, x, 0), np.where(mask, y, 0)
+    a, b = x.sum(-1) / n, y.sum(-1) / n
+    x, y = x - a[..., None], y - b[..., None]
+    if mask is not None:
+        x, y = np.where(mask, x, 0), np.where(mask, y, 0)
+    factor = (x.conj() * y).sum(-1) / n / np.maximum((x.real**2 + x.imag**2).sum(-1) / n, 1e-300)
+    return factor, b - factor * a
+
+
+def fit_plane_similarities(source: np.ndarray, target: np.ndarray, threshold: float, rounds: int = 500, seed: int = 42):
+    """:func:`fit_similarity` of many groups of equally many points at once, in closed form: factor, shift and inliers of each row of complex places.
+
+    Samples, the rule that ends them early and the choice among models are those of :func:`ransac`. Factor and shift are NaN where there is no model.
+    """
+    groups, n = source.shape
+    inside = np.zeros((groups, n), dtype=bool)
+    none = np.full(groups, complex(np.nan, np.nan))
+    if n < 3 or not groups:
+        return none, none, inside
+    picks = _picks(n, 3, rounds, seed)
+    with np.errstate(invalid="ignore"):  # places that are no numbers are never inliers
+        factor, shift = _plane_similarities(source[:, picks], target[:, picks])
+    off = factor[:, :, None] * source[:, None, :] + shift[:, :, None] - target[:, None, :]
+    near = off.real**2 + off.imag**2 < threshold**2
+    counts = near.sum(2)
+    share = np.clip(np.arange(n + 1) / n, 1e-9, 1 - 1e-9) ** 3
+    with np.errstate(divide="ignore"):
+        need = np.ceil(np.log(1e-5) / np.log(np.maximum(1 - share, 1e-12)))
+    need[0] = rounds
+    after = need[np.maximum.accumulate(counts, axis=1)]
+    counts[:, 1:][np.arange(1, rounds) >= after[:, :-1]] = -1  # not drawn any more
+    best = counts.argmax(1)
+    inside = near[np.arange(groups), best]
+    factor, shift = _plane_similarities(source, target, inside)
+    few = inside.sum(1) < 3
+    factor[few], shift[few] = none[few], none[few]
+    return factor, shift, inside
+
+
 def rotation_from_angle_axis(v: np.ndarray) -> np.ndarray:
     t = float(np.linalg.norm(v))
     if t < 1e-12:

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import camera
+from ..functions import camera, kernels
 from ..runtime import checkpointed
 
+#: Matches that are gathered before their groups are fitted, and places that are transformed at once.
+FIT_ROWS, FIT_PLACES = 200_000, 1 << 20
+
 
 def reprojections(obs: DataFrame, shots: DataFrame, points: DataFrame) -> DataFrame:
     """Each observation whose shot and point exist, with the point in the camera (cx, cy, cz) and its projection (pu, pv; null where not seen).
@@ -153,6 +157,61 @@ def per_group(df: DataFrame, keys: list[str], kernel: Callable[[pd.DataFrame], d
     return df.groupBy(*keys).applyInPandas(run, f"{kinds}, {schema}")
 
 
+def pair_similarities(matches: DataFrame, pair: list[str], least: int, threshold: float, rounds: int) -> DataFrame:
+    """pair, n, n_inliers, msac, lmeds: a robust similarity between the places (x1, y1, x2, y2) of each pair with ``least`` matches or more, and its scores.
+
+    Samples are drawn from the matches in order of place, so the same rows give the same result. Rows of several pairs go to Python together and groups of one size are fitted together.
+    """
+    places = ["x1", "y1", "x2", "y2"]
+    # moved as plain rows: lists made before the shuffle hold a row each and are larger
+    m = matches.select(*pair, *places).repartition(*pair).groupBy(*pair).agg(F.collect_list(F.struct(*places)).alias("_m")).where(F.size("_m") >= least)
+    rows = m.select(*pair, F.posexplode(F.array_sort("_m")).alias("_at", "_m")).select(*pair, "_at", *(F.col(f"_m.{c}").cast("double").alias(c) for c in places))
+    kinds = ", ".join(f"`{k}` {matches.schema[k].dataType.simpleString()}" for k in pair)
+
+    def fitted(t: pa.Table) -> pa.RecordBatch:
+        at = t["_at"].to_numpy()
+        x1, y1, x2, y2 = (t[c].to_numpy(zero_copy_only=False).astype(float) for c in places)
+        x, y = x1 + 1j * y1, x2 + 1j * y2
+        starts = np.flatnonzero(at == 0)
+        sizes = np.diff(np.append(starts, len(at)))
+        inliers, msac, lmeds = np.zeros(len(starts), dtype=np.int32), np.zeros(len(starts)), np.zeros(len(starts))
+        for n in np.unique(sizes):
+            own = np.flatnonzero(sizes == n)
+            step = max(1, FIT_PLACES // (rounds * int(n)))
+            for some in (own[i : i + step] for i in range(0, len(own), step)):
+                rows = starts[some][:, None] + np.arange(n)
+                a, b = x[rows], y[rows]
+                factor, shift, inside = kernels.fit_plane_similarities(a, b, threshold, rounds)
+                inliers[some] = inside.sum(1)
+                e = np.abs(factor[:, None] * a + shift[:, None] - b)
+                all_ = np.isfinite(e).all(1)
+                for i in np.flatnonzero(~all_):
+                    s = kernels.scores(e[i], threshold)
+                    msac[some[i]], lmeds[some[i]] = s["msac"], s["lmeds"]
+                msac[some[all_]] = 1.0 / (np.minimum(e[all_] ** 2, threshold**2).sum(1) + 1e-8)
+                lmeds[some[all_]] = 1.0 / (np.median(e[all_], axis=1) + 1e-8)
+        first = t.take(pa.array(starts))
+        columns = [pa.concat_arrays(first[k].chunks) for k in pair] + [pa.array(v) for v in (sizes.astype(np.int32), inliers, msac, lmeds)]
+        return pa.RecordBatch.from_arrays(columns, names=[*pair, "n", "n_inliers", "msac", "lmeds"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, n = [], 0
+        for b in batches:
+            kept.append(b)
+            n += len(b)
+            starts = np.flatnonzero(b["_at"].to_numpy() == 0)
+            if n >= FIT_ROWS and len(starts):  # the last group may go on in the next batch
+                t = pa.Table.from_batches(kept)
+                end = n - len(b) + int(starts[-1])
+                if end:
+                    yield fitted(t.slice(0, end))
+                kept, n = t.slice(end).to_batches(), n - end
+        if n:
+            yield fitted(pa.Table.from_batches(kept))
+
+    return rows.mapInArrow(run, f"{kinds}, n int, n_inliers int, msac double, lmeds double")
+
+
 def merged(parts: list[DataFrame], key: str) -> DataFrame:
     """All parts with keys R0_key, R1_key and so on."""
     out = None

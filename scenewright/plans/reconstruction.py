@@ -7,11 +7,10 @@ of its shots.
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import camera, kernels
+from ..functions import camera
 from ..operators import graph, observations, statistics, timeline
 from ..operators import reconstruction as rec
 from ..operators import retrieval
@@ -472,17 +471,14 @@ def bearing_inliers(spark, d):
 @query()
 def pair_similarities(spark, d):
     """Per pair of images with eight common features or more a robust similarity between them, scored three ways. Sampling has no SQL."""
-    c = _common(spark, d)
-    many = c.groupBy("im1", "im2").count().where("count >= 8").select("im1", "im2")
-
-    def fit(pdf):
-        a, b = pdf[["x1", "y1"]].to_numpy(), pdf[["x2", "y2"]].to_numpy()
-        model, inside = kernels.fit_similarity(a, b, 0.1, rounds=60)
-        e = np.linalg.norm(model[0] * a @ model[1].T + model[2] - b, axis=1) if model else np.full(len(a), np.inf)
-        scores = kernels.scores(e, 0.1)
-        return {"n": len(a), "n_inliers": int(inside.sum()), "msac": scores["msac"], "lmeds": scores["lmeds"]}
-
-    return rec.per_group(c.join(many, ["im1", "im2"], "left_semi"), ["im1", "im2"], fit, "n int, n_inliers int, msac double, lmeds double")
+    o = table(spark, d, "observations").where("shot_id is not null and track_id is not null and feature_id is not null")
+    # what else tells rows apart is one number; rows of a track stay together from here to the pairs
+    other = [c for c in o.columns if c not in ("shot_id", "track_id", "x", "y")]
+    o = o.select("shot_id", "track_id", "x", "y", F.xxhash64(*other, *(F.col(c).isNull() for c in other)).alias("_other")).repartition("track_id").distinct()
+    o = observations.in_good_tracks(o).drop("_other")
+    side = lambda i: o.select("track_id", F.col("shot_id").alias(f"im{i}"), F.col("x").alias(f"x{i}"), F.col("y").alias(f"y{i}"))
+    common = side(1).join(side(2), "track_id").where("im1 < im2").drop("track_id")
+    return rec.pair_similarities(common, ["im1", "im2"], 8, 0.1, 60)
 
 
 @query()

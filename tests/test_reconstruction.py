@@ -146,3 +146,29 @@ def test_distances_to_the_nearest_points_across_leaves(spark):
     few = {x.k: x.distances for x in retrieval.nearest_distances(df.where("k in ('k0001', 'k0002')"), "k", ["x", "y", "z"], 3).collect()}
     assert [len(few[k]) for k in ("k0001", "k0002")] == [1, 1]
     assert retrieval.nearest_distances(df.limit(0), "k", ["x", "y", "z"], 3).count() == 0
+
+
+def test_similarities_of_many_pairs_at_once(spark):
+    r = np.random.RandomState(5)
+    rows, want = [], {}
+    for p in range(60):
+        n = int(r.randint(6, 20))
+        a = r.uniform(-0.5, 0.5, (n, 2))
+        b = 1.3 * a @ np.array([[0.8, -0.6], [0.6, 0.8]]).T + [0.1, 0.2] + r.normal(0, 0.02, (n, 2))
+        b[: n // 3] += r.normal(0, 2, (n // 3, 2))
+        order = np.lexsort(a.T[::-1])
+        a, b = a[order], b[order]
+        rows += [("a", f"b{p}", i, i, *map(float, a[i]), *map(float, b[i])) for i in range(n)]
+        if n >= 8:
+            model, inside = kernels.fit_similarity(a, b, 0.1, rounds=60)
+            s = kernels.scores(np.linalg.norm(model[0] * a @ model[1].T + model[2] - b, axis=1), 0.1)
+            want[f"b{p}"] = (n, int(inside.sum()), s["msac"], s["lmeds"])
+    rows += [("a", "nan", i, i, float("nan"), 0.0, 0.0, 0.0) for i in range(8)]
+    df = spark.createDataFrame(rows, "im1 string, im2 string, f1 int, f2 int, x1 double, y1 double, x2 double, y2 double")
+    for parts in (1, 7):  # in whichever order the rows come
+        got = {x.im2: tuple(x)[2:] for x in rec.pair_similarities(df.orderBy(F.rand(parts)).repartition(parts), ["im1", "im2"], 8, 0.1, 60).collect()}
+        assert got.pop("nan") == (8, 0, 0.0, 0.0)
+        assert set(got) == set(want)
+        for k, v in want.items():
+            assert got[k] == pytest.approx(v, rel=1e-9)
+    assert rec.pair_similarities(df.limit(0), ["im1", "im2"], 8, 0.1, 60).count() == 0
