@@ -425,14 +425,13 @@ _TF = r"""tf as (select doc_id, word, count(*) n from (select doc_id, unnest(reg
   h as (select doc_id, word, r / sum(r) over (partition by doc_id) weight from raw)"""
 
 
-def _histograms(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{M}]+)")).alias("words"))
-    return retrieval.word_histograms(docs, "doc_id", "words")
+def _words(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{M}]+)")).alias("words"))
 
 
 @query(f"with {_TF} select doc_id, word, round(weight, 6) weight from h")
 def bow_histograms(spark, d):
-    return _histograms(spark, d).select("doc_id", "word", F.round("weight", 6).alias("weight"))
+    return retrieval.word_histograms(_words(spark, d), "doc_id", "words").select("doc_id", "word", F.round("weight", 6).alias("weight"))
 
 
 @query(f"""with {_TF}, s as (select q.doc_id query, o.doc_id other, abs(round(2 - 2 * sum(least(q.weight, o.weight)), 9)) distance from h q join h o using (word)
@@ -445,8 +444,7 @@ def bow_topk(spark, d):
 
     A query with fewer than five partners that share a word takes the smallest other ids, of which ten are enough.
     """
-    h = _histograms(spark, d)
-    shared = retrieval.histogram_neighbours(h.where("doc_id % 50 = 0"), h, "doc_id", 5)
+    shared = retrieval.word_neighbours(_words(spark, d), "doc_id", "words", F.expr("doc_id % 50 = 0"), 5)
     ids = table(spark, d, "documents").where("doc_id is not null").select("doc_id").distinct()
     first = ids.orderBy("doc_id").limit(10).agg(F.array_sort(F.collect_list("doc_id")).alias("first"))
     rest = ids.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query")).join(F.broadcast(first)).select("query", F.explode("first").alias("other"), F.lit(2.0).alias("distance"))

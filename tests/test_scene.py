@@ -119,6 +119,33 @@ def test_nearest_vectors_given_twice_or_equally_near(spark):
     assert {x.other for x in retrieval.nearest_vectors(ring.where("id = 0"), ring, "id", "e", 3).collect()} == {1, 2, 3}
 
 
+def test_nearest_histograms_are_exact(spark, monkeypatch):
+    from collections import Counter
+
+    r = np.random.RandomState(4)
+    texts = {i: [f"w{min(int(r.zipf(1.3)), 900)}" for _ in range(int(r.randint(1, 40)))] for i in range(300)}
+    texts[7] = texts[8] = list(texts[9])
+    texts[250] = ["alone"]
+    rows = [*texts.items()]
+    cut = [(20, texts[20][:1]), (20, texts[20][1:])]  # one key in two rows
+    df = spark.createDataFrame([x for x in rows if x[0] != 20] + cut + [(None, texts[3]), (None, ["odd", "odd"]), (400, None), (401, [])], "id long, words array<string>").repartition(3)
+    freq = Counter(w for t in [*texts.values(), texts[3], ["odd", "odd"]] for w in t)
+    total = sum(freq.values())
+    raw = {i: {w: n * np.log(total / freq[w]) for w, n in Counter(t).items()} for i, t in texts.items()}
+    hist = {i: {w: v / sum(x.values()) for w, v in x.items()} for i, x in raw.items()}
+    want = set()
+    for q in range(0, 300, 5):
+        near = sorted((abs(round(2 - 2 * sum(min(v, hist[o].get(w, 0)) for w, v in hist[q].items()), 9)), o) for o in hist if o != q and hist[o].keys() & hist[q].keys())
+        want |= {(q, o, d) for d, o in near[:4]}
+    for block, own, shared in ((10_000, 384, 128), (25, 3, 2)):
+        monkeypatch.setattr(retrieval, "OWN_COLUMNS", own)
+        monkeypatch.setattr(retrieval, "SHARED_COLUMNS", shared)
+        got = {(x.query, x.other, round(x.distance, 9)) for x in retrieval.word_neighbours(df, "id", "words", F.expr("id % 5 = 0"), 4, block).collect()}
+        assert got == want
+    assert retrieval.word_neighbours(df.limit(0), "id", "words", F.expr("id % 5 = 0"), 4).count() == 0
+    assert retrieval.word_neighbours(df, "id", "words", F.expr("id = 777"), 4).count() == 0
+
+
 def test_tracks_file_there_and_back(spark, tmp_path):
     o = spark.createDataFrame([("s1", "1", 3, 0.1, 0.2, 0.004, 1, 2, 3, None, 4), ("s2", "1", 5, 0.3, 0.4, 0.004, 1, 2, 3, 7, None)], files.TRACKS_COLUMNS[2])
     files.write_tracks(o, str(tmp_path / "t"))
