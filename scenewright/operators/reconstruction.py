@@ -163,8 +163,7 @@ def pair_similarities(matches: DataFrame, pair: list[str], least: int, threshold
     Samples are drawn from the matches in order of place, so the same rows give the same result. Rows of several pairs go to Python together and groups of one size are fitted together.
     """
     places = ["x1", "y1", "x2", "y2"]
-    # moved as plain rows: lists made before the shuffle hold a row each and are larger
-    m = matches.select(*pair, *places).repartition(*pair).groupBy(*pair).agg(F.collect_list(F.struct(*places)).alias("_m")).where(F.size("_m") >= least)
+    m = matches.groupBy(*pair).agg(F.collect_list(F.struct(*places)).alias("_m")).where(F.size("_m") >= least)
     rows = m.select(*pair, F.posexplode(F.array_sort("_m")).alias("_at", "_m")).select(*pair, "_at", *(F.col(f"_m.{c}").cast("double").alias(c) for c in places))
     kinds = ", ".join(f"`{k}` {matches.schema[k].dataType.simpleString()}" for k in pair)
 

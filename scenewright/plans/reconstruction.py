@@ -475,9 +475,12 @@ def pair_similarities(spark, d):
     # what else tells rows apart is one number; rows of a track stay together from here to the pairs
     other = [c for c in o.columns if c not in ("shot_id", "track_id", "x", "y")]
     o = o.select("shot_id", "track_id", "x", "y", F.xxhash64(*other, *(F.col(c).isNull() for c in other)).alias("_other")).repartition("track_id").distinct()
-    o = observations.in_good_tracks(o).drop("_other")
-    side = lambda i: o.select("track_id", F.col("shot_id").alias(f"im{i}"), F.col("x").alias(f"x{i}"), F.col("y").alias(f"y{i}"))
-    common = side(1).join(side(2), "track_id").where("im1 < im2").drop("track_id")
+    tracks = observations.in_good_tracks(o).groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("shot_id", "x", "y"))).alias("seen"))
+    # each shot takes the later ones of the track along, so that its own place moves once
+    first = tracks.select(F.posexplode("seen").alias("at", "one"), "seen").select(
+        F.col("one.shot_id").alias("im1"), F.col("one.x").alias("x1"), F.col("one.y").alias("y1"), F.slice("seen", F.col("at") + 2, F.size("seen")).alias("later")
+    )
+    common = first.where(F.size("later") > 0).repartition("im1").select("im1", "x1", "y1", F.inline("later").alias("im2", "x2", "y2"))
     return rec.pair_similarities(common, ["im1", "im2"], 8, 0.1, 60)
 
 
