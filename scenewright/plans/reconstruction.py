@@ -48,8 +48,17 @@ def _tracks(spark, d) -> DataFrame:
     return observations.in_good_tracks(scene._obs(spark, d))
 
 
-def _points(spark, d) -> DataFrame:
-    o = _tracks(spark, d).select("shot_id", "track_id").join(_shots(spark, d), "shot_id")
+def _slim_tracks(spark, d, *columns: str) -> DataFrame:
+    """shot_id, track_id and ``columns`` of :func:`_tracks`, by track: what else tells rows apart is one number, and they move once."""
+    o = table(spark, d, "observations").where("shot_id is not null and track_id is not null and feature_id is not null")
+    kept = ["shot_id", "track_id", *columns]
+    other = [c for c in o.columns if c not in kept]
+    o = o.select(*kept, F.xxhash64(*other, *(F.col(c).isNull() for c in other)).alias("_other")).repartition("track_id").distinct()
+    return observations.in_good_tracks(o).drop("_other")
+
+
+def _points(spark, d, tracks: DataFrame | None = None) -> DataFrame:
+    o = (tracks or _tracks(spark, d)).select("shot_id", "track_id").join(_shots(spark, d), "shot_id")
     ahead = {"px": F.col("e") + 10 * F.sin("heading"), "py": F.col("n") + 10 * F.cos("heading"), "pz": F.col("u") + 0.31415926}
     g = o.groupBy("reconstruction_id", "track_id").agg(F.count(F.lit(1)).alias("views"), *(F.avg(c).alias(a) for a, c in ahead.items()))
     return g.where("views >= 2").select("reconstruction_id", "track_id", "px", "py", "pz")
@@ -141,7 +150,7 @@ def features_reconstructed(spark, d):
   select k, round(mean2, 3) mean2 from m where mean2 > (select avg(mean2) + 1.25 * stddev_pop(mean2) from m)""")
 def isolated_points(spark, d):
     """Points far from their three nearest, all reconstructions laid over one another."""
-    q = _points(spark, d).select(F.concat("reconstruction_id", F.lit("/"), "track_id").alias("k"), "px", "py", "pz")
+    q = _points(spark, d, _slim_tracks(spark, d)).select(F.concat("reconstruction_id", F.lit("/"), "track_id").alias("k"), "px", "py", "pz")
     near = retrieval.nearest_distances(q, "k", ["px", "py", "pz"], 3).select("k", F.explode("distances").alias("distance")).select("k", F.pow("distance", 2).alias("d2"))
     return rec.isolated(near, "k").select("k", F.round("mean2", 3).alias("mean2"))
 
@@ -471,11 +480,7 @@ def bearing_inliers(spark, d):
 @query()
 def pair_similarities(spark, d):
     """Per pair of images with eight common features or more a robust similarity between them, scored three ways. Sampling has no SQL."""
-    o = table(spark, d, "observations").where("shot_id is not null and track_id is not null and feature_id is not null")
-    # what else tells rows apart is one number; rows of a track stay together from here to the pairs
-    other = [c for c in o.columns if c not in ("shot_id", "track_id", "x", "y")]
-    o = o.select("shot_id", "track_id", "x", "y", F.xxhash64(*other, *(F.col(c).isNull() for c in other)).alias("_other")).repartition("track_id").distinct()
-    tracks = observations.in_good_tracks(o).groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("shot_id", "x", "y"))).alias("seen"))
+    tracks = _slim_tracks(spark, d, "x", "y").groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("shot_id", "x", "y"))).alias("seen"))
     # each shot takes the later ones of the track along, so that its own place moves once
     first = tracks.select(F.posexplode("seen").alias("at", "one"), "seen").select(
         F.col("one.shot_id").alias("im1"), F.col("one.x").alias("x1"), F.col("one.y").alias("y1"), F.slice("seen", F.col("at") + 2, F.size("seen")).alias("later")
